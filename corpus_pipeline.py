@@ -1,8 +1,48 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: reject poor documents, keep one of each near-duplicate class, mask personal data, mix the sources to
+their weights, and pack what is left into training sequences."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geocell.llm import mixing, neardup, packing, pii, quality
+from geocell.llm.common import table, written
+from geocell.llm.queries import tokenizer
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that it rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of each class of near duplicates stays."""
+    return neardup.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: spans are replaced by their kind; n_chars follows."""
+    return pii.redact(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: a document comes as often as the mix takes it."""
+    return mixing.sample(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9."""
+    return packing.pack(docs, *tokenizer())
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("personal_data", mask_personal_data), ("mixing", mix_sources), ("packing", pack)]
+# A classifier, MinHash, a field and a tokenizer are not for SQL: the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

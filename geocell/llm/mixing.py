@@ -103,3 +103,16 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shi
     tried = tried.groupBy("s", "j").agg(F.abs(F.sum(_copies(F.col("place"), F.col("expected"), F.col("start") + F.col("j") / F.lit(float(shifts))) * F.col("size")) - F.first("target")).alias("miss"))
     best = written(tried.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("miss", "j"))["j"].alias("j")))
     return joined.join(best, F.col("s").eqNullSafe(F.col("b"))).withColumn("copies", _copies(F.col("place"), F.col("expected"), F.col("start") + F.col("j") / F.lit(float(shifts)))).drop("s", "b", "j", "start", "expected", "place")
+
+
+def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs (doc_id, source, text) with each row as often as mix() copies it; columns stay.
+
+    Rows are told apart by their place in the input, so docs must be a table that reads the same again, as files do. Texts
+    move once, to meet their counts; the mix itself sees sizes only.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    slim = numbered.select(F.col("_row").alias("_r"), "doc_id", "source", words(F.col(text).cast("string")).alias("size"))
+    taken = mix(slim, **options).where("copies > 0").select("_r", "copies")
+    joined = numbered.join(taken, F.col("_row") == F.col("_r"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

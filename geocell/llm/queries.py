@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, lm, media, mixing, packing, pii, quality, topk
+from . import language, lm, media, mixing, neardup, packing, pii, quality, suffixes, topk
 from .common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_media_columns(spark, sf_dir):
     return media.document_media(table(spark, sf_dir, "documents")).drop("position", "caption")
 
 
+def op3_ngram_join(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -43,6 +47,10 @@ def op7_language_id(spark, sf_dir):
     return language.identify(docs, dictionaries, {"held_out": F.col("held_out")})
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -51,7 +59,7 @@ def op10_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_media_columns, op4_mix_sources, op5_exact_topk, op6_quality, op7_language_id, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ctw_score, op2_media_columns, op3_ngram_join, op4_mix_sources, op5_exact_topk, op6_quality, op7_language_id, op8_suffix_dedup, op9_packing, op10_pii)}
 
 ORACLE: dict[str, str] = {
     "op4_mix_sources": r"""
