@@ -18,7 +18,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(8)
+@lru_cache(4)
 def _powers(base: int, bits: int) -> np.ndarray:
     """base ** 0, 1, 2, ..., by doubling."""
     out = np.ones(1 << bits, U)
@@ -36,7 +36,7 @@ class Prefixes:
     """Polynomial prefix hashes of a buffer; any piece of it is hashed in constant time, wherever it lies."""
 
     def __init__(self, buffer: np.ndarray):
-        bits = max(1, int(len(buffer) + 1).bit_length())
+        bits = max(21, int(len(buffer) + 1).bit_length())
         self.sums = np.zeros(len(buffer) + 1, U)
         np.cumsum(_letters()[buffer] * _powers(_BASE, bits)[: len(buffer)], out=self.sums[1:])
         self.back = _powers(_INVERSE, bits)

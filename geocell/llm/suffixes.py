@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .hashing import Prefixes, U, mix
 
 GRAM = 32
-PIECE = 1 << 22
-_PLACE = U((1 << 23) - 1)
+PIECE = 1 << 20
+_PLACE = U((1 << 22) - 1)
 _NULL = -(1 << 63)
 
 # Rows between the steps: a packed row has bucket and data, a range row has key, copy, a, b; wanted tells ranges of window
@@ -104,7 +104,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
                 if run and run[0][0] != row[0]:
                     out += _numbered(run)
                     run = []
-                    if size > 4 * PIECE:
+                    if size > 12 * PIECE:
                         yield out
                         out, size = [], 0
                 run.append((row[0], (row[1] or "").encode(), *row[2:]))
