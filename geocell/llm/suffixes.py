@@ -340,14 +340,16 @@ def _settle_suffixes(length: int, buckets: int):
     return run
 
 
-def _splitters(docs: DataFrame, length: int, buckets: int, sample_rows: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens that part `buckets` buckets, from 64 suffixes each of a bounded sample of texts. They only balance."""
+def _splitters(docs: DataFrame, length: int, buckets: int, sample_rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that part `buckets` buckets, from one string each of a bounded sample of texts: for each of sample_rows
+    slots that texts are dealt to by hash, the one with the smallest hash. They only balance."""
+    h, size = F.xxhash64("key", F.lit(1)), F.length("text")
+    piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("key", F.lit(2)), F.greatest(size - length, F.lit(1))) + 1).cast("int"), F.lit(length))
+    rows = docs.where(size >= length).select(F.pmod(h, F.lit(sample_rows)).alias("slot"), F.struct(h.alias("h"), piece.alias("piece")).alias("x"))
     lead, rest = [], []
-    for (text,) in docs.select("text").where(F.octet_length("text") >= length).orderBy(F.xxhash64("key")).limit(sample_rows).collect():
-        raw = text.encode()[:PIECE]
-        buffer = np.frombuffer(raw, np.uint8)
-        s = np.linspace(0, len(raw) - length, 64).astype(np.int64)
-        a, b = _tokens(buffer, Prefixes(buffer), s, length)
+    for r in rows.groupBy("slot").agg(F.min("x")["piece"].alias("piece")).collect():
+        buffer = np.frombuffer(r["piece"].encode(), np.uint8)
+        a, b = _tokens(buffer, Prefixes(buffer), np.zeros(1, np.int64), length)
         lead.append(a), rest.append(b)
     if not lead:
         return np.zeros(0, U), np.zeros(0, U)
