@@ -17,6 +17,8 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Texts go to Python in small batches, so that a worker's memory stays small beside the executor's."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +53,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_size(batch, column: int, most_bytes: int = 4 << 20, most_rows: int = 1024):
+    """Slices of an Arrow batch of bounded text size; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first, size = 0, 0
+    for k, n in enumerate(sizes):
+        if k > first and (size + n > most_bytes or k - first >= most_rows):
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

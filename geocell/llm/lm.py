@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_size, written
 
 END = b"\n"
-CHUNK = 4_000_000
+CHUNK = 1_000_000
+HELD = 300_000
 U = np.uint64
 _LN10 = float(np.log(10.0))
 
@@ -80,13 +81,19 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     """word and n: its training count (0 for words that only held-out texts have). The end token is b"\\n"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[Counter] = [Counter(), Counter()]
         for batch in batches:
-            seen: list[Counter] = [Counter(), Counter()]
             for cell, out in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 seen[out].update(tokens(cell.as_py()))
                 seen[out][END] += 1
-            rest = [w for w in seen[1] if w not in seen[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([*seen[0], *rest], pa.binary()), pa.array([*seen[0].values(), *[0] * len(rest)], pa.int64())], names=["word", "n"])
+                if len(seen[0]) + len(seen[1]) > HELD:  # partial sums are summed after the shuffle
+                    yield words_of(*seen)
+                    seen = [Counter(), Counter()]
+        yield words_of(*seen)
+
+    def words_of(train: Counter, rest: Counter) -> pa.RecordBatch:
+        new = [w for w in rest if w not in train]
+        return pa.RecordBatch.from_arrays([pa.array([*train, *new], pa.binary()), pa.array([*train.values(), *[0] * len(new)], pa.int64())], names=["word", "n"])
 
     return _prepared(docs, held).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -95,19 +102,30 @@ def count_grams(docs: DataFrame, held: Column, depth: int) -> DataFrame:
     """gram and n: its training count, 0 for those that only held-out texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
-            keys, counts = [], []
-            flags = batch.column(1).to_pylist()
-            for wanted in (False, True):
-                texts = [b" ".join(tokens(c.as_py())) for c, out in zip(batch.column(0), flags, strict=True) if out is wanted]
-                for _, part in _chunks(texts):
-                    own = np.sort(_grams(part, depth)[0])
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    keys.append(own[first])
-                    counts.append(np.zeros(len(first), np.int64) if wanted else np.diff(np.append(first, len(own))))
-            if keys:
-                k, n = _summed(np.concatenate(keys), np.concatenate(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            for part in by_size(batch, 0):
+                flags = part.column(1).to_pylist()
+                for wanted in (False, True):
+                    texts = [b" ".join(tokens(c.as_py())) for c, out in zip(part.column(0), flags, strict=True) if out is wanted]
+                    for _, some in _chunks(texts):
+                        own = _grams(some, depth)[0]
+                        own.sort()
+                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        keys.append(own[first])
+                        counts.append(np.zeros(len(first), np.int64) if wanted else np.diff(np.append(first, len(own))))
+                if sum(map(len, keys)) > 8 * HELD:
+                    k, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts = [k], [n]
+                    if len(k) > 5 * HELD:
+                        yield grams_of(k, n)
+                        keys, counts = [], []
+        if keys:
+            yield grams_of(*_summed(np.concatenate(keys), np.concatenate(counts)))
+
+    def grams_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     return _prepared(docs, held).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -244,7 +262,7 @@ class Table:
     EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(grams)).bit_length())
+        self.bits = max(4, int(len(grams) / 0.7).bit_length())
         self.keys = np.full(1 << self.bits, self.EMPTY, U)
         self.values = np.zeros(1 << self.bits, np.float32)
         left, slot = np.arange(len(grams)), self.slot(grams.astype(U))
@@ -278,7 +296,7 @@ class Table:
         return out, np.concatenate(missing) if missing else np.zeros(0, np.int64)
 
 
-def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 100_000, grams: int = 1 << 22) -> DataFrame:
+def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 50_000, grams: int = 2_200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text).
 
     words: so many of the most frequent words go to all workers; the rest are joined by key. grams: the same for byte
@@ -296,8 +314,10 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
         raise ValueError("contexts have at most 7 bytes, and split is one of their lengths")
     weighed = weigh(written(count_grams(docs, held, depth)), depth, split)
     room = total + 1 * (different + 1)
-    common = {bytes(r["word"]): r["n"] for r in vocabulary.where("n > 0").orderBy(F.col("n").desc(), "word").limit(words).collect()}
-    sizes = sorted(((r["n"], r["count"]) for r in weighed.groupBy("n").count().collect()), reverse=True)
+    top = vocabulary.where("n > 0").orderBy(F.col("n").desc(), "word").limit(words).toArrow()
+    common = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    histogram = weighed.groupBy("n").count().toArrow()
+    sizes = sorted(zip(histogram["n"].to_pylist(), histogram["count"].to_pylist(), strict=True), reverse=True)
     least, room_left = (sizes[0][0] + 1 if sizes else 1), grams
     for n, count in sizes:
         if count > room_left:
@@ -305,14 +325,13 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
         least, room_left = n, room_left - count
     near = weighed.where(F.col("n") >= least).select("gram", "logp").toArrow()
     shared = spark.sparkContext.broadcast((common, Table(near["gram"].to_numpy(), near["logp"].to_numpy())))
-    del near
+    del near, top, histogram, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
         base = {w: float(np.log10((n + 1) / room)) for w, n in known.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in by_size(batch, 2):
                 ids = part.column(0).to_pylist()
                 split_texts = [tokens(c.as_py()) for c in part.column(2)]
                 scores = np.zeros(len(ids))
