@@ -14,7 +14,7 @@ from .common import written
 from .graph import components
 from .hashing import Prefixes, U, mix
 
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BLOCK = 256
 
 
