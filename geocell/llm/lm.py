@@ -25,7 +25,7 @@ from .common import by_size, written
 
 END = b"\n"
 CHUNK = 1_000_000
-HELD = 300_000
+HELD = 150_000
 U = np.uint64
 _LN10 = float(np.log(10.0))
 
