@@ -62,23 +62,28 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", sample_
 
 
 def scored_features(rows: DataFrame, text: str, keep: list[str], weights: np.ndarray | None = None) -> DataFrame:
-    """The columns of keep with `features`, or with `evidence` (the classifier's log-odds) if weights are given."""
+    """The columns of keep with `features`, or with `evidence` (the classifier's log-odds) if weights are given.
+
+    A string text that is itself in keep goes to Python once.
+    """
     name = "features" if weights is None else "evidence"
+    carried = text in keep and isinstance(rows.schema[text].dataType, T.StringType)
+    place, first = (keep.index(text), 0) if carried else (0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = [features(c.as_py()) for c in part.column(0)]
+                x = [features(c.as_py()) for c in part.column(place)]
                 if weights is None:
                     out = pa.array(x, pa.list_(pa.float64()))
                 else:
                     out = pa.array(np.clip(np.array(x) @ weights[:-1] + weights[-1], -30, 30), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], out], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[first:], out], names=[*keep, name])
 
-    picked = rows.select(F.col(text).cast("string").alias("_text"), *keep)
+    picked = rows.select(*([] if carried else [F.col(text).cast("string").alias("_text")]), *keep)
     kind = T.ArrayType(T.DoubleType()) if weights is None else T.DoubleType()
-    return picked.mapInArrow(run, T.StructType([*picked.schema[1:], T.StructField(name, kind)]))
+    return picked.mapInArrow(run, T.StructType([*picked.schema[first:], T.StructField(name, kind)]))
 
 
 def _logit(p: Column) -> Column:
@@ -157,6 +162,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, th
     """docs without the rows that classify() rejects; their columns stay."""
     weights, posteriors, _ = train(docs, labels, host, path)
     names = docs.columns
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"), host.cast("string").alias("host"), path.cast("string").alias("path"))
-    scored = scored_features(marked, "text", ["row", "host", "path"], weights)
-    return combine(scored, posteriors).where(F.col("score") >= threshold).select("row.*")
+    # columns go by place, whatever their names are
+    marked = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], host.cast("string").alias("host"), path.cast("string").alias("path"))
+    scored = scored_features(marked, f"_{names.index('text')}", marked.columns, weights)
+    return combine(scored, posteriors).where(F.col("score") >= threshold).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
