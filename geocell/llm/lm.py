@@ -195,24 +195,37 @@ class _Shard:
         return np.log10(np.where(self.bits == 0, zero, 1 - zero)).reshape(8, -1).sum(0)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = list(batches)
-    return pa.Table.from_batches(got) if got else None
+def _shards(batches: Iterator[pa.RecordBatch], split: int, most: int = HELD) -> Iterator[pa.Table]:
+    """Rows sorted by shard, as tables of whole shards: more than about `most` rows only where one shard has them."""
+    shard = lambda b: (b.column("gram").to_numpy().astype(U) >> U(8)) & U((1 << (8 * split)) - 1)
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rows >= most and len(new := np.flatnonzero(shard(batch) != shard(held[-1].slice(held[-1].num_rows - 1))[0])):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(new[0]))])
+            batch, held, rows = batch.slice(int(new[0])), [], 0
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
     """gram, n and logp: log10 of the byte's probability in its context.
 
     A shard holds different grams of one `split`-byte context, at most 256 ** (depth - split + 1) however often they occur.
+    Tasks sort by shard and hold a run of whole shards at a time.
     """
     shard = (F.shiftrightunsigned("gram", 8)).bitwiseAND(F.lit((1 << (8 * split)) - 1))
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := _whole(batches)) is not None and len(t):
+        for t in _shards(batches, split):
             keys, n0, n1, weighted = _Shard(t["gram"].to_numpy(), t["n"].to_numpy(), depth, split).top
             yield pa.RecordBatch.from_arrays([pa.array((keys >> U(8)).astype(np.int64)), pa.array((keys & U(255)).astype(np.int32)), pa.array(n0), pa.array(n1), pa.array(weighted)], names=["context", "node", "n0", "n1", "weighted"])
 
-    level = written(grams.repartition(shard).mapInArrow(up, "context long, node int, n0 double, n1 double, weighted double"))
+    level = written(grams.repartition(shard).sortWithinPartitions(shard).mapInArrow(up, "context long, node int, n0 double, n1 double, weighted double"))
     below, levels = level, []
     for d in range(split - 1, -1, -1):
         own = F.when(F.col("n0") + F.col("n1") > 0, kt(F.col("n0"), F.col("n1"))).otherwise(0.0)
@@ -241,7 +254,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
     rows = grams.select(shard.alias("shard"), "gram", "n", nothing.alias("mixed"), nothing.alias("left"), nothing.alias("settled")).unionByName(top)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := _whole(batches)) is not None and len(t):
+        for t in _shards(batches, split):
             n, keys = t["n"].to_numpy(), t["gram"].to_numpy().astype(U)
             own, given = n >= 0, n < 0
             s = _Shard(keys[own], n[own], depth, split)
@@ -250,7 +263,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
             counts = _summed(keys[own], n[own])[1]
             yield pa.RecordBatch.from_arrays([pa.array(s.grams.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(logp)], names=["gram", "n", "logp"])
 
-    return written(rows.repartition("shard").drop("shard").mapInArrow(down, "gram long, n long, logp double"))
+    return written(rows.repartition("shard").sortWithinPartitions("shard").drop("shard").mapInArrow(down, "gram long, n long, logp double"))
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
@@ -327,6 +340,18 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
     shared = spark.sparkContext.broadcast((common, Table(near["gram"].to_numpy(), near["logp"].to_numpy())))
     del near, top, histogram, sizes
 
+    def far_rows(owner: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        """A row for each text and gram that is to be joined."""
+        order = np.lexsort((keys, owner))
+        owner, keys = owner[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]))
+        k = len(first)
+        wide = np.full((k, 9), 32, np.uint8)
+        wide[:, 1:] = keys[first].astype(">u8").view(np.uint8).reshape(k, 8)
+        key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), k, [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary())
+        zeros, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
+        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, key, pa.array(np.diff(np.append(first, len(keys))))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
         base = {w: float(np.log10((n + 1) / room)) for w, n in known.items()}
@@ -342,7 +367,7 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
                     scores[first : first + len(texts)] = np.add.reduceat(values.astype(np.float64), starts)
                     if len(missing):
                         owner = np.searchsorted(starts, missing, "right") - 1 + first
-                        rows += [(ids[d], b" " + int(k).to_bytes(8, "big"), n) for (d, k), n in Counter(zip(owner.tolist(), keys[missing].tolist(), strict=True)).items()]
+                        yield far_rows(np.array(ids, np.int64)[owner], keys[missing])
                 main = []
                 for rid, own in zip(ids, split_texts, strict=True):
                     own.append(END)
