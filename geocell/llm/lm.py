@@ -54,20 +54,33 @@ def _grams(joined: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of bounded size, each with the number of its first."""
+def _chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded size and number, each with the number of its first."""
     at, size = 0, 0
     for k, x in enumerate(texts):
         size += len(x) + 1
-        if size >= CHUNK:
+        if size >= CHUNK or k + 1 - at >= most:
             yield at, texts[at : k + 1]
             at, size = k + 1, 0
     if at < len(texts):
         yield at, texts[at:]
 
 
+def _pairs(keys: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs of a key and one of 256 owners, sorted, and how often each comes."""
+    if depth < 7:  # one number holds both
+        both = (keys << U(8)) | owner.astype(U)
+        both.sort()
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        return both[first] >> U(8), (both[first] & U(255)).astype(np.int64), np.diff(np.append(first, len(both)))
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]))
+    return keys[first], owner[first], np.diff(np.append(first, len(keys)))
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(n, first) if len(first) else n
@@ -340,17 +353,14 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
     shared = spark.sparkContext.broadcast((common, Table(near["gram"].to_numpy(), near["logp"].to_numpy())))
     del near, top, histogram, sizes
 
-    def far_rows(owner: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    def far_rows(owner: np.ndarray, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         """A row for each text and gram that is to be joined."""
-        order = np.lexsort((keys, owner))
-        owner, keys = owner[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]))
-        k = len(first)
+        k = len(keys)
         wide = np.full((k, 9), 32, np.uint8)
-        wide[:, 1:] = keys[first].astype(">u8").view(np.uint8).reshape(k, 8)
+        wide[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(k, 8)
         key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), k, [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary())
         zeros, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, key, pa.array(np.diff(np.append(first, len(keys))))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, key, pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
@@ -361,13 +371,18 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
                 split_texts = [tokens(c.as_py()) for c in part.column(2)]
                 scores = np.zeros(len(ids))
                 rows: list[tuple] = []
-                for first, texts in _chunks([b" ".join(x) for x in split_texts]):
+                for first, texts in _chunks([b" ".join(x) for x in split_texts], 256):
                     keys, starts = _grams(texts, depth)
-                    values, missing = table.find(keys)
-                    scores[first : first + len(texts)] = np.add.reduceat(values.astype(np.float64), starts)
+                    keys, owner, times = _pairs(keys, np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(keys)))), depth)
+                    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+                    values, missing = table.find(keys[new])
+                    far = np.zeros(len(values), bool)
+                    far[missing] = True
+                    which = np.cumsum(new) - 1
+                    scores[first : first + len(texts)] = np.bincount(owner, values.astype(np.float64)[which] * times, len(texts))
                     if len(missing):
-                        owner = np.searchsorted(starts, missing, "right") - 1 + first
-                        yield far_rows(np.array(ids, np.int64)[owner], keys[missing])
+                        far = far[which]
+                        yield far_rows(np.array(ids[first : first + len(texts)], np.int64)[owner[far]], keys[far], times[far])
                 main = []
                 for rid, own in zip(ids, split_texts, strict=True):
                     own.append(END)
