@@ -128,10 +128,10 @@ def count_grams(docs: DataFrame, held: Column, depth: int) -> DataFrame:
                         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                         keys.append(own[first])
                         counts.append(np.zeros(len(first), np.int64) if wanted else np.diff(np.append(first, len(own))))
-                if sum(map(len, keys)) > 8 * HELD:
+                if sum(map(len, keys)) > 16 * HELD:
                     k, n = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [k], [n]
-                    if len(k) > 5 * HELD:
+                    if len(k) > 10 * HELD:
                         yield grams_of(k, n)
                         keys, counts = [], []
         if keys:
