@@ -306,3 +306,24 @@ def test_pii_field_adds_and_keeps(docs):
     assert all(x.spans == "" for x in got.values() if not x.n_email + x.n_ip + x.n_card + x.n_phone)
     masked = [x.text for x in pii.redact(docs).collect() if x.text and "[EMAIL]" in x.text]
     assert masked == ["mail me: [EMAIL], later [EMAIL] again"]
+
+
+def test_lm_runs_of_whole_shards():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    grams = np.sort(rng.integers(0, 40, 3000).astype(np.int64)) << 8  # sorted by the one context byte
+    batches = [pa.RecordBatch.from_arrays([pa.array(grams[a : a + 64])], names=["gram"]) for a in range(0, len(grams), 64)]
+    runs = [t["gram"].to_numpy() for t in lm._shards(iter([batches[0].slice(0, 0), *batches]), 1, most=200)]
+    assert np.array_equal(np.concatenate(runs), grams) and len(runs) > 5
+    assert sum(len(set(r)) for r in runs) == len(set(grams))  # no shard is in two runs
+    assert not list(lm._shards(iter([]), 1))
+
+
+@pytest.mark.parametrize("depth", [6, 7])
+def test_lm_pairs(depth):
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << (8 * (depth + 1)) - 1, 50, dtype=np.uint64)[rng.integers(0, 50, 2000)]
+    owner = rng.integers(0, 256, 2000)
+    got = zip(*(x.tolist() for x in lm._pairs(keys, owner, depth)), strict=True)
+    assert {(k, o): n for k, o, n in got} == collections.Counter(zip(keys.tolist(), owner.tolist(), strict=True))
