@@ -106,7 +106,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, tiers:
     task packs its own input partition, and even its last windows need no padding, so the number of partitions costs
     nothing. Sequence ids hold the partition's number, which a retried task keeps.
 
-    Null text is empty; an empty text is its end id alone. A null doc_id stays null. Repeated rows are packed as often as
+    Ids are the tokenizer's by default: a literal <|endoftext|> is one id. Null text is empty; an empty text is its end id alone. A null doc_id stays null. Repeated rows are packed as often as
     they come. A text of any length is cut into windows. An empty table gives no row. Other columns are ignored.
     """
     if any(t & (t - 1) for t in tiers):
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 1, tiers:
         held, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = tokens.encode(text.as_py() or "", ids) + end
+                own = tokens.encode_document(text.as_py() or "", ids) + end
                 held.append((doc_id, own))
                 size += len(own) // 4
                 if size >= BATCH_IDS:

@@ -11,6 +11,8 @@ from functools import lru_cache
 _CUT = re.compile(r" (?=[^\s᠎])")
 _UNSAFE = re.compile(r" (?=[\s᠎]|\Z)")
 CACHE = 400_000
+#: The vocabulary's added token: the tokenizer's .json form cuts texts at it before anything else, and gives it this id.
+SPECIAL = ("<|endoftext|>", 50256)
 
 
 class _Ids(dict):
@@ -31,7 +33,7 @@ class _Ids(dict):
 
 @lru_cache(4)
 def cache(path: str, pattern: str) -> _Ids:
-    """path: a .tiktoken ranks file. Its ids equal those of the .json file of the same name."""
+    """path: a .tiktoken ranks file. Its ids equal those of the .json file of the same name, but for the added token."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -39,8 +41,16 @@ def cache(path: str, pattern: str) -> _Ids:
     return _Ids(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
 
+def encode_document(text: str, ids: _Ids, special: tuple[str, int] = SPECIAL) -> bytes:
+    """All ids of the text, 4 bytes each, as the tokenizer gives them by default: the added token has its own id."""
+    name, number = special
+    if name not in text:
+        return encode(text, ids)
+    return number.to_bytes(4, "little").join([encode(part, ids) for part in text.split(name)])
+
+
 def encode(text: str, ids: _Ids) -> bytes:
-    """All ids of the text, 4 bytes each."""
+    """All ids of the text, 4 bytes each; the added token is plain text."""
     pieces = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
     if len(pieces) == 1:
         return ids[text]

@@ -250,6 +250,20 @@ def test_tokens_equal_the_tokenizer():
         assert np.frombuffer(tokens.encode(x, ids), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_tokens_equal_the_tokenizer_by_default(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = tokens.cache(*tokenizer())
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}x", f"a  {mark}\n b ", f"<{mark}>", mark[:-1], f"it's{mark}é 12", "", "a  b"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(tokens.encode_document(x, ids), "<u4").tolist() for x in texts] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *tokenizer()).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {k: len(x) + 1 for k, x in enumerate(want)}
+
+
 def test_packing(docs):
     path = tokenizer()
     ids = tokens.cache(*path)
