@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,9 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SHAPES = 4096
+#: A word that meets this share of the documents with personal data, away from its own span, is known as a common one.
+COMMON = 5e-4
+#: Longer words have no such count.
+LONGEST = 64
+#: Marks of learn()'s rows that count no shape.
+DOCUMENTS, WORDS = -100, -101
 
 _RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,6 +34,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKS = re.compile(r"[\W_]+")
+_GROUP = re.compile(r"[^\w]*[0-9][^\w]*(?:[0-9]+[^\w]*)*")
 _LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -88,13 +99,61 @@ def _shape(word: str) -> int:
     return zlib.crc32(s[:32].encode()) % SHAPES
 
 
+def _key(word: str) -> str:
+    return _MARKS.sub("", word.translate(_LOW))
+
+
 def _keys(word: str) -> list[str]:
-    """What a word has in common with another spelling of it; empty for words that are not told apart by it."""
-    w = word.translate(_LOW)
-    if not re.search("[0-9]", w):
-        return []
-    parts = [w] + ([w[: w.index("@")]] if "@" in w else [])
-    return [k for k in dict.fromkeys(re.sub(r"[^0-9a-z]", "", p) for p in parts) if len(k) >= 5]
+    """What a word has in common with another spelling of it."""
+    parts = [word, word[: word.index("@")]] if "@" in word else [word]
+    return [k for k in dict.fromkeys(map(_key, parts)) if k]
+
+
+def _held(text: str, spans: list[tuple[str, int, int]], words: list[tuple[int, int]]) -> tuple[dict[str, int], set[str]]:
+    """Keys of the words in base spans, each with the first such word, and the keys that several groups of digits make.
+
+    An address has itself and its local part. A number has each of its groups, and these joined from any group on.
+    """
+    keys: dict[str, int] = {}
+    joined: set[str] = set()
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    for kind, a, b in spans:
+        first, last = bisect_right(ends, a), bisect_left(starts, b)
+        if kind == "email":
+            own = [(first, k) for k in _keys(text[a:b])]
+        elif kind == "ip":
+            own = [(first, _key(text[a:b]))]
+        else:
+            groups = [(i, _digits(text[max(a, starts[i]) : min(b, ends[i])])) for i in range(first, last)]
+            groups = [g for g in groups if g[1]]
+            tails = [(groups[j][0], "".join(d for _, d in groups[j:])) for j in range(len(groups))]
+            joined.update(d for _, d in tails)
+            own = groups + tails
+        for i, k in own:
+            if k:
+                keys.setdefault(k, i)
+    return keys, joined
+
+
+def _mentions(text: str, words: list[tuple[int, int]], labels: np.ndarray, keys: dict[str, int], joined: set[str]) -> Iterator[tuple[int, int, str]]:
+    """(word in a base span, other word, key) wherever a word outside, or a run of digit groups, has a key of a span."""
+    for i, (a, b) in enumerate(words):
+        if not labels[i]:
+            for k in _keys(text[a:b]):
+                if k in keys:
+                    yield keys[k], i, k
+    if joined:
+        heads = {d[:n] for d in joined for n in range(1, len(d) + 1)}
+        for i in range(len(words)):
+            own, j = "", i
+            while j < len(words) and not labels[j] and _GROUP.fullmatch(text, *words[j]):
+                own += _digits(text[words[j][0] : words[j][1]])
+                if own not in heads:
+                    break
+                j += 1
+                if own in joined and j - i > 1:
+                    for w in range(i, j):
+                        yield keys[own], w, own
 
 
 def _nodes(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -108,28 +167,43 @@ def _nodes(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int
     return words, labels
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Label counts of word shapes and of neighbours, over every document that has a base span.
+def learn(docs: DataFrame) -> dict:
+    """Label counts of word shapes and of neighbours, and how words that a base span has are used without one, over every
+    document that has a base span.
 
-    The tables' sizes are fixed (shapes are hashed to SHAPES rows), whatever the corpus.
+    The tables' sizes are bounded, whatever the corpus: shapes are hashed to SHAPES rows, and a word is in the last table
+    if it comes without its span COMMON times as often as there are such documents. Its skip potential falls by the log of
+    the share of its uses that are beside a span of its own; a rarer word's is whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
+            seen: Counter = Counter()
             for cell in batch.column(0):
                 text = cell.as_py() or ""
                 if spans := base_spans(text):
                     words, labels = _nodes(text, spans)
-                    seen.update((_shape(text[a:b]), int(x)) for (a, b), x in zip(words, labels, strict=True))
-                    seen.update((-1 - int(x), int(y)) for x, y in zip(labels, labels[1:], strict=False))
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int32()) for i in (0, 1)] + [pa.array([seen[k] for k in keys], pa.int64())], names=["shape", "label", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "shape int, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n")).collect()
+                    seen[(DOCUMENTS, 0, None)] += 1
+                    seen.update((_shape(text[a:b]), int(x), None) for (a, b), x in zip(words, labels, strict=True))
+                    seen.update((-1 - int(x), int(y), None) for x, y in zip(labels, labels[1:], strict=False))
+                    keys, _ = _held(text, spans, words)
+                    for (a, b), x in zip(words, labels, strict=True):
+                        if not x and b - a <= LONGEST:
+                            seen.update((WORDS, int(k in keys), k) for k in _keys(text[a:b]))
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))] + [pa.array([seen[k] for k in rows], pa.int64())], names=["shape", "label", "word", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "shape int, label int, word string, n long").groupBy("shape", "word").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(x) for k, x in enumerate(LABELS)])
+    counted = written(counted)
+    found = counted.where("word is null").collect()
+    documents = sum(r["none"] for r in found if r["shape"] == DOCUMENTS)
+    # label 0: away from a span of its own, label 1: beside one
+    often = counted.where(F.col("word").isNotNull() & (F.col("none") >= max(3, COMMON * documents))).select("word", "none", LABELS[1]).collect()
+    common = {r[0]: float(np.log((r[2] + 1) / (r[1] + r[2] + 1))) for r in often}
+    rows = [(r["shape"], k, r[x]) for r in found if r["shape"] != DOCUMENTS for k, x in enumerate(LABELS) if r[x]]
     shapes, pairs = np.zeros((SHAPES, len(LABELS))), np.zeros((len(LABELS), len(LABELS)))
-    for r in rows:
-        (shapes if r["shape"] >= 0 else pairs)[r["shape"] if r["shape"] >= 0 else -1 - r["shape"], r["label"]] = r["n"]
+    for shape, label, n in rows:
+        (shapes if shape >= 0 else pairs)[shape if shape >= 0 else -1 - shape, label] = n
     prior = (shapes.sum(0) + 1) / (shapes.sum() + len(LABELS))
     chance = (shapes + 2 * prior) / (shapes.sum(1, keepdims=True) + 2)
     unary = np.log(np.clip(chance, 0.01, 1))
@@ -137,25 +211,35 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     unary[:, 0] = np.log(np.clip(chance[:, 0], 0.9, 1))
     both = (pairs + prior[:, None] * prior) / (pairs.sum() + 1)
     chain = np.clip(np.log(both / (both.sum(1, keepdims=True) * both.sum(0, keepdims=True))), -1, 1)
-    return {"unary": unary, "chain": chain}
+    return {"unary": unary, "chain": chain, "common": common}
 
 
-def field_spans(text: str, spans: list[tuple[str, int, int]], model: dict[str, np.ndarray], skip: float = 6.0, rounds: int = 12) -> list[tuple[str, int, int]]:
+def field_spans(text: str, spans: list[tuple[str, int, int]], model: dict, skip: float = 6.0, rounds: int = 12) -> list[tuple[str, int, int]]:
     """The spans that the field adds to the base ones.
 
-    Nodes are words. Words in a base span are held to its kind. Neighbours share the chain potentials; words with a key
-    in common share a skip potential with the next such word, so that a key with many occurrences gives as many edges,
-    not their square. Loopy sum-product passes run until the beliefs settle, `rounds` times at most.
+    Nodes are words. Words in a base span are held to its kind. Neighbours share the chain potentials. Every word that has
+    a key of a base span shares a skip potential with a word of that span: one edge for each such word and span key, so
+    distance does not matter. Longer words with a digit also share one with the next word of the same key. An edge is
+    as strong as learn() found the key to be used beside its span. Loopy sum-product passes run until the beliefs settle,
+    `rounds` times at most.
     """
     words, labels = _nodes(text, spans)
+    common = model["common"]
+    links: dict[tuple[int, int], float] = {}
+    keys, joined = _held(text, spans, words)
+    for i, j, key in _mentions(text, words, labels, keys, joined):
+        pair = min(i, j), max(i, j)
+        links[pair] = max(links.get(pair, 0.0), skip + common.get(key, 0.0))
     last: dict[str, int] = {}
-    links = []
     for i, (a, b) in enumerate(words):
-        if b - a >= 5:
+        if b - a >= 5 and _NUMBER.search(text, a, b):
             for key in _keys(text[a:b]):
-                if key in last:
-                    links.append((last[key], i))
-                last[key] = i
+                if len(key) >= 5:
+                    if key in last:
+                        pair = last[key], i
+                        links[pair] = max(links.get(pair, 0.0), skip + common.get(key, 0.0))
+                    last[key] = i
+    links = {pair: x for pair, x in links.items() if x > 0}
     if not any(labels[i] == 0 or labels[j] == 0 for i, j in links):
         return []  # every repeated word is in a base span already: nothing can be added
     n, k = len(words), len(LABELS)
@@ -163,13 +247,14 @@ def field_spans(text: str, spans: list[tuple[str, int, int]], model: dict[str, n
     held = labels > 0
     unary[held] = -30.0
     unary[held, labels[held]] = 0.0
-    skips = np.array(sorted(set(links)), np.int64).reshape(-1, 2)
+    skips = np.array(sorted(links), np.int64).reshape(-1, 2)
+    strength = np.array([links[i, j] for i, j in skips.tolist()])
     left = np.concatenate([np.arange(n - 1), skips[:, 0]])
     right = np.concatenate([np.arange(1, n), skips[:, 1]])
     source, target = np.concatenate([left, right]), np.concatenate([right, left])
     m = len(left)
-    agree = np.where(np.eye(k, dtype=bool) & (np.arange(k) > 0), skip, 0.0)
-    forward = np.exp(np.concatenate([np.broadcast_to(model["chain"], (n - 1, k, k)), np.broadcast_to(agree, (len(skips), k, k))]))
+    agree = np.eye(k) * (np.arange(k) > 0)
+    forward = np.exp(np.concatenate([np.broadcast_to(model["chain"], (n - 1, k, k)), strength[:, None, None] * agree]))
     potential = np.concatenate([forward, forward.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     sent = np.zeros((2 * m, k))
@@ -194,7 +279,7 @@ def field_spans(text: str, spans: list[tuple[str, int, int]], model: dict[str, n
     return [s for s in added if s[1] < s[2]]
 
 
-def find(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
+def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Personal data in every text of docs (doc_id, text): counts and digest of the base spans, and all spans.
 
     Null text is empty: no spans, the digest of the empty string. A null doc_id stays null; repeated rows repeat. Time
@@ -232,7 +317,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text: str = "text", model: dict[str, np.ndarray] | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
     """docs with personal data in the text column masked; null stays null, all columns stay."""
     model = learn(docs.select(F.col(text).alias("text"))) if model is None else model
 

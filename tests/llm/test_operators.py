@@ -322,6 +322,24 @@ def test_pii_field_adds_and_keeps(docs):
     assert masked == ["mail me: [EMAIL], later [EMAIL] again"]
 
 
+def added(text, model):
+    return [(k, text[a:b]) for k, a, b in pii.field_spans(text, pii.base_spans(text), model)]
+
+
+def test_pii_field_links_every_word_of_a_span(spark):
+    rows = ["mail jane.doe@corp.org or info@corp.org", "for info write to bob@x.org, 4 49 30 lines", "call +49 (030) 123 4567 now"] + [f"more info and 49 facts, mail u{k}q@x.org" for k in range(40)]
+    model = pii.learn(spark.createDataFrame(enumerate(rows), "doc_id long, text string"))
+    far = "the cat sat " * 200
+    assert added(f"Ask jane.doe@corp.org {far} as Jane.Doe, said", model) == [("email", "Jane.Doe")]
+    assert added(f"Ask jane.doe@corp.org {'so jane.doe went ' * 60}", model) == [("email", "jane.doe")] * 60
+    # what comes without its span in other documents is a common word
+    assert added("mail info@corp.org for more info and info", model) == []
+    assert added("call +49 (030) 123 4567 with 49 facts", model) == []
+    assert added(f"call +49 (030) 123 4567 {far} or 49 (030) 123 4567", model) == [("phone", x) for x in ("49", "030", "123", "4567")]
+    assert added(f"call +49 (030) 123 4567 {far} or (030) 1234567", model) == [("phone", "030"), ("phone", "1234567")]
+    assert added(f"pay 4111 1111 1111 1111 {far} card of 4111", model) == [("card", "4111")]
+
+
 def test_lm_runs_of_whole_shards():
     import pyarrow as pa
 
