@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_TRAIN = 100_000
+BLOCK = 1024
 
 
-def classify(train: DataFrame, test: DataFrame, k: int = 2) -> DataFrame:
+def _blocks(rows: DataFrame, count: int, name: str, struct: str) -> DataFrame:
+    """Rows dealt by hash to `count` arrays of bounded size: name, and the array of them."""
+    part = F.pmod(F.xxhash64(F.col("vec_id"), F.col("label"), F.col("embedding")), F.lit(count)).cast("int")
+    return rows.groupBy(part.alias(name)).agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias(struct))
+
+
+def _pair(d: Column, t: Column) -> Column:
+    """Sorts by distance, one that is null last as in SQL, then by id."""
+    return F.struct(d.isNull().alias("unknown"), d.alias("d"), t["vec_id"].alias("t_id"), t["label"].alias("t_label"))
+
+
+def classify(train: DataFrame, test: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
     """vec_id, label, predicted: a vote of the k nearest by Euclidean distance; ties go to the nearer, then the smaller label.
 
-    Train rows are broadcast to each test row's task, which is checked: beyond MOST_TRAIN rows it fails."""
-    if train.limit(MOST_TRAIN + 1).count() > MOST_TRAIN:
-        raise ValueError(f"at most {MOST_TRAIN} training rows")
-    t = train.select(F.col("vec_id").alias("t_id"), F.col("label").alias("t_label"), F.col("embedding").alias("t_vec"))
-    squared = F.aggregate(F.zip_with("embedding", "t_vec", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    near = test.join(F.broadcast(t)).select("vec_id", "label", "t_id", "t_label", squared.alias("d"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "t_id"))).where(F.col("r") <= k)
+    Both sides are dealt to blocks. A pair of blocks is one row's work, of bounded size, and gives each of its test rows
+    its k nearest there; these are merged. Cost is test x train rows as the exact search asks, but no row stands for a pair
+    of them, and nothing that is broadcast or gathered grows with the tables."""
+    blocks, sets = (max(1, -(-rows.count() // block)) for rows in (train, test))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _blocks(train, blocks, "b", "known").withColumn("s", every(sets))
+    right = _blocks(test, sets, "s", "asked").withColumn("b", every(blocks))
+    # the values of both vectors, in double
+    squared = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+
+    def nearest(q):
+        pairs = F.transform("known", lambda t: _pair(squared(q["embedding"], t["embedding"]), t))
+        return F.struct(q["vec_id"].alias("vec_id"), q["label"].alias("label"), F.slice(F.array_sort(pairs), 1, k).alias("near"))
+
+    local = left.join(right, ["b", "s"]).select(F.explode(F.transform("asked", nearest)).alias("q"))
+    near = local.select("q.vec_id", "q.label", F.explode("q.near").alias("t")).select("vec_id", "label", "t.*")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("unknown", "d", "t_id"))).where(F.col("r") <= k)
     votes = near.groupBy("vec_id", "label", "t_label").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r"))
     best = Window.partitionBy("vec_id").orderBy(F.col("n").desc(), "r", "t_label")
     return votes.withColumn("b", F.row_number().over(best)).where("b = 1").select("vec_id", "label", F.col("t_label").alias("predicted"))
