@@ -108,10 +108,10 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shi
 def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs (doc_id, source, text) with each row as often as mix() copies it; columns stay.
 
-    Rows are told apart by their place in the input, so docs must be a table that reads the same again, as files do. Texts
-    move once, to meet their counts; the mix itself sees sizes only.
+    Rows are numbered and written once, and both sides of the join read that table, so numbers cannot shift between jobs.
+    Texts move once more, to meet their counts; the mix itself sees sizes only.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     slim = numbered.select(F.col("_row").alias("_r"), "doc_id", "source", words(F.col(text).cast("string")).alias("size"))
     taken = mix(slim, **options).where("copies > 0").select("_r", "copies")
     joined = numbered.join(taken, F.col("_row") == F.col("_r"))

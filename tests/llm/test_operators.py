@@ -172,6 +172,26 @@ def test_mixing(docs):
     assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs).count() == sum(r.copies for r in got)
 
 
+def test_sample_keeps_its_rows_when_splits_change(spark, tmp_path, monkeypatch):
+    rows = spark.range(200).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('w ', cast(1 + id % 7 as int)) as text")
+    rows.repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = {r.doc_id: r.copies for r in mixing.mix(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))).collect() if r.copies}
+    name, mix = "spark.sql.files.maxPartitionBytes", mixing.mix
+    old = spark.conf.get(name)
+
+    def then_smaller(*args, **options):
+        out = mix(*args, **options)
+        spark.conf.set(name, "4m")  # a file each, not two
+        return out
+
+    monkeypatch.setattr(mixing, "mix", then_smaller)
+    try:
+        assert collections.Counter(r.doc_id for r in mixing.sample(docs).collect()) == want
+    finally:
+        spark.conf.set(name, old)
+
+
 def test_targets_reach_their_caps(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
