@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 
+def has_letter(text: str) -> bool:
+    """A letter has a category of letters: neither digits nor numbers such as a half."""
+    return any(map(str.isalpha, text))
 
-def fit(labelled: DataFrame, sample_rows: int = 400, dictionary_bytes: int = 110_000, piece_chars: int = 600) -> dict[str, bytes]:
+
+def fit(labelled: DataFrame, sample_rows: int = 160, dictionary_bytes: int = 110_000, piece_chars: int = 600, windows: int = 4) -> dict[str, bytes]:
     """A raw-content dictionary for each lang of the labelled rows (doc_id, text, lang).
 
     Bounded sample: texts are dealt by hash to sample_rows slots a language, and each slot gives the text with the
-    smallest hash: piece_chars characters of it, in lower case, dictionary_bytes in all. Repeated texts count once.
+    smallest hash: `windows` pieces of it in lower case, piece_chars characters in all, one from each equal section of the
+    whole text, at a place that the hash tells. Repeated texts count once; a text without a letter is left out. Where all
+    pieces are more than dictionary_bytes, each is cut to its share, so that every slot stays.
     """
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text rlike '\\\\p{L}'")
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, piece_chars)).alias("piece"))
+    section, width = F.floor(F.length("text") / windows), piece_chars // windows
+    places = [(section * k + F.pmod(F.xxhash64("text", F.lit(k)), section - width + 1) + 1).cast("int") for k in range(windows)]
+    piece = F.when(F.length("text") <= piece_chars, F.col("text")).otherwise(F.concat_ws("\n", *[F.substring("text", at, F.lit(width)) for at in places]))
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.lower(piece).alias("piece"))
     # a bounded buffer per language and task, merged: no group is gathered whole
     kept = rows.groupBy("lang", F.pmod("h", F.lit(sample_rows)).alias("slot")).agg(F.min(F.struct("h", "piece")).alias("x"))
-    found: dict[str, list[tuple[int, str]]] = {}
+    found: dict[str, list[tuple[int, bytes]]] = {}
     for r in kept.select("lang", "x.h", "x.piece").collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["piece"]))
+        found.setdefault(r["lang"], []).append((r["h"], r["piece"].encode()))
     out = {}
-    for lang, pieces in found.items():
-        data = "\n".join(p for _, p in sorted(pieces)).encode()
-        out[lang] = data[-dictionary_bytes:]
-    return dict(sorted(out.items()))
+    for lang, pieces in sorted(found.items()):
+        size = sum(len(p) + 1 for _, p in pieces)
+        share = min(1.0, dictionary_bytes / size)
+        out[lang] = b"\n".join(p[: int((len(p) + 1) * share)] for _, p in sorted(pieces))
+    return out
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Column] | None = None, level: int = 6, margin: float = 0.01) -> DataFrame:
@@ -59,7 +67,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: dict[str, Co
             langs, scores, sure = [], [], []
             for cell in batch.column(1):
                 text = cell.as_py()
-                if not names or not text or not LETTER.search(text):
+                if not names or not text or not has_letter(text):
                     langs.append("und"), scores.append(0.0), sure.append(False)
                     continue
                 raw = text.lower().encode()

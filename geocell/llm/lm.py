@@ -7,8 +7,9 @@ the product of its children's, computed over the whole training text. A context
 to the longest one that it did.
 
 Counts are exact over all documents. The tree is worked out bottom-up and top-down in shards of `split` context bytes, the
-few levels above by plain aggregation. No task holds more than a shard, and the only broadcasts are the `words` most
-frequent words and at most `grams` contexts; what is rarer is joined.
+few levels above by plain aggregation. Grams move as packed rows, one for each task and bucket of shards; a task holds one
+bucket at a time, and the only broadcasts are at most `words` words and `grams` contexts, the most frequent ones; what is
+rarer is joined.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, written
+from .hashing import mix
 
 END = b"\n"
 CHUNK = 1_000_000
 HELD = 150_000
 U = np.uint64
-_LN10 = float(np.log(10.0))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -111,8 +113,24 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     return _prepared(docs, held).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_grams(docs: DataFrame, held: Column, depth: int) -> DataFrame:
-    """gram and n: its training count, 0 for those that only held-out texts have."""
+def _shard(keys: np.ndarray, split: int) -> np.ndarray:
+    return (keys >> U(8)) & U((1 << (8 * split)) - 1)
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted grams and their counts: bytes of equal weight lie together, which compresses well in the shuffle."""
+    return b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(keys, prepend=U(0)), n.astype(U)))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(2, 8, -1)
+    steps, n = (np.ascontiguousarray(p.T).view(U)[:, 0] for p in planes)
+    return np.cumsum(steps, dtype=U), n.astype(np.int64)
+
+
+def count_grams(docs: DataFrame, held: Column, depth: int, split: int, buckets: int) -> DataFrame:
+    """bucket and data: packed grams with their training counts (0 for those that only held-out texts have), by bucket of
+    shards; partial sums, to be summed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -132,15 +150,20 @@ def count_grams(docs: DataFrame, held: Column, depth: int) -> DataFrame:
                     k, n = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [k], [n]
                     if len(k) > 10 * HELD:
-                        yield grams_of(k, n)
+                        yield dealt(k, n)
                         keys, counts = [], []
         if keys:
-            yield grams_of(*_summed(np.concatenate(keys), np.concatenate(counts)))
+            yield dealt(*_summed(np.concatenate(keys), np.concatenate(counts)))
 
-    def grams_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+    def dealt(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bucket = (mix(_shard(keys, split)) % U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")  # within a bucket by gram
+        bucket, keys, n = bucket[order], keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        rows = [_packed(keys[a:b], n[a:b]) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "data"])
 
-    return _prepared(docs, held).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _prepared(docs, held).mapInArrow(run, "bucket int, data binary")
 
 
 # ---- the tree ------------------------------------------------------------------------------------------------------
@@ -208,37 +231,64 @@ class _Shard:
         return np.log10(np.where(self.bits == 0, zero, 1 - zero)).reshape(8, -1).sum(0)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], split: int, most: int = HELD) -> Iterator[pa.Table]:
-    """Rows sorted by shard, as tables of whole shards: more than about `most` rows only where one shard has them."""
-    shard = lambda b: (b.column("gram").to_numpy().astype(U) >> U(8)) & U((1 << (8 * split)) - 1)
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket, as a table for each bucket."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rows >= most and len(new := np.flatnonzero(shard(batch) != shard(held[-1].slice(held[-1].num_rows - 1))[0])):
-            yield pa.Table.from_batches([*held, batch.slice(0, int(new[0]))])
-            batch, held, rows = batch.slice(int(new[0])), [], 0
-        held.append(batch)
-        rows += batch.num_rows
+        marks = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1), len(marks)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[-1].column("bucket")[0].as_py() != marks[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
 
 
+def _runs(keys: np.ndarray, n: np.ndarray, split: int, most: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts in runs of whole shards: more than about `most` only where one shard has them."""
+    shard = _shard(keys, split)
+    order = np.argsort(shard, kind="stable")
+    keys, n, shard = keys[order], n[order], shard[order]
+    at = 0
+    while at < len(keys):
+        end = at + most
+        end = len(keys) if end >= len(keys) else int(np.searchsorted(shard, shard[end - 1], "right"))
+        yield keys[at:end], n[at:end]
+        at = end
+
+
+def _grams_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The summed grams of a bucket's packed rows."""
+    parts = [_unpacked(x.as_py()) for x in t.column("data") if x.is_valid]
+    return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
 def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
-    """gram, n and logp: log10 of the byte's probability in its context.
+    """gram, n and logp (log10 of the byte's probability in its context), from count_grams().
 
     A shard holds different grams of one `split`-byte context, at most 256 ** (depth - split + 1) however often they occur.
-    Tasks sort by shard and hold a run of whole shards at a time.
+    Tasks sort by bucket, hold a bucket's packed grams at a time and work them out in runs of whole shards.
     """
-    shard = (F.shiftrightunsigned("gram", 8)).bitwiseAND(F.lit((1 << (8 * split)) - 1))
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _shards(batches, split):
-            keys, n0, n1, weighted = _Shard(t["gram"].to_numpy(), t["n"].to_numpy(), depth, split).top
-            yield pa.RecordBatch.from_arrays([pa.array((keys >> U(8)).astype(np.int64)), pa.array((keys & U(255)).astype(np.int32)), pa.array(n0), pa.array(n1), pa.array(weighted)], names=["context", "node", "n0", "n1", "weighted"])
-
-    level = written(grams.repartition(shard).sortWithinPartitions(shard).mapInArrow(up, "context long, node int, n0 double, n1 double, weighted double"))
+        for t in _buckets(batches):
+            bucket = t["bucket"][0].as_py()
+            keys, n = _grams_of(t)
+            for some, count in _runs(keys, n, split):
+                top, n0, n1, weighted = _Shard(some, count, depth, split).top
+                k = len(top)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket, np.int32)), pa.nulls(k, pa.binary()), pa.array((top >> U(8)).astype(np.int64)), pa.array((top & U(255)).astype(np.int32)), pa.array(n0), pa.array(n1), pa.array(weighted)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_packed(keys, n)], pa.binary()), *[pa.nulls(1, k) for k in (pa.int64(), pa.int32(), *[pa.float64()] * 3)]], names=names)
+
+    schema = "bucket int, data binary, context long, node int, n0 double, n1 double, weighted double"
+    names = [x.split()[0] for x in schema.split(", ")]
+    worked = written(grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(up, schema))
+    level = worked.where("data is null")
     below, levels = level, []
     for d in range(split - 1, -1, -1):
         own = F.when(F.col("n0") + F.col("n1") > 0, kt(F.col("n0"), F.col("n1"))).otherwise(0.0)
@@ -262,21 +312,23 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
             F.when(seen, F.col("mixed") + F.col("left") * p).otherwise(F.col("settled")).alias("settled"),
         )
     top = level.withColumn("up", F.col("context").bitwiseAND(F.lit((1 << (8 * (split - 1))) - 1))).join(prior, ["up", "node"])
-    top = top.select(F.col("context").alias("shard"), (F.shiftleft("context", 8) + F.col("node")).alias("gram"), F.lit(-1).cast("long").alias("n"), "mixed", "left", "settled")
-    nothing = F.lit(None).cast("double")
-    rows = grams.select(shard.alias("shard"), "gram", "n", nothing.alias("mixed"), nothing.alias("left"), nothing.alias("settled")).unionByName(top)
+    top = top.select("bucket", F.lit(None).cast("binary").alias("data"), (F.shiftleft("context", 8) + F.col("node")).alias("gram"), "mixed", "left", "settled")
+    rows = worked.where("data is not null").select("bucket", "data").unionByName(top, allowMissingColumns=True)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _shards(batches, split):
-            n, keys = t["n"].to_numpy(), t["gram"].to_numpy().astype(U)
-            own, given = n >= 0, n < 0
-            s = _Shard(keys[own], n[own], depth, split)
-            order = np.argsort(keys[given])
-            logp = s.log10(keys[given][order], *(t[c].to_numpy(zero_copy_only=False)[given][order] for c in ("mixed", "left", "settled")))
-            counts = _summed(keys[own], n[own])[1]
-            yield pa.RecordBatch.from_arrays([pa.array(s.grams.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(logp)], names=["gram", "n", "logp"])
+        for t in _buckets(batches):
+            keys, n = _grams_of(t)
+            given = t.filter(pc.is_null(t["data"]))
+            nodes = given["gram"].to_numpy().astype(U)
+            order = np.argsort(nodes)
+            nodes = nodes[order]
+            above = [given[c].to_numpy()[order] for c in ("mixed", "left", "settled")]
+            for some, count in _runs(keys, n, split):
+                s = _Shard(some, count, depth, split)
+                logp = s.log10(nodes, *above)
+                yield pa.RecordBatch.from_arrays([pa.array(s.grams.astype(np.int64)), pa.array(_summed(some, count)[1]), pa.array(logp.astype(np.float32))], names=["gram", "n", "logp"])
 
-    return written(rows.repartition("shard").sortWithinPartitions("shard").drop("shard").mapInArrow(down, "gram long, n long, logp double"))
+    return written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(down, "gram long, n long, logp float"))
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
@@ -322,11 +374,25 @@ class Table:
         return out, np.concatenate(missing) if missing else np.zeros(0, np.int64)
 
 
-def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 50_000, grams: int = 2_200_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text).
+def _least(counts: DataFrame, most: int) -> int:
+    """The smallest count n such that at most `most` rows have n or more; at least 1."""
+    histogram = counts.where("n > 0").groupBy("n").count().toArrow()
+    sizes = sorted(zip(histogram["n"].to_pylist(), histogram["count"].to_pylist(), strict=True), reverse=True)
+    least = sizes[0][0] + 1 if sizes else 1
+    for n, count in sizes:
+        if count > most:
+            break
+        least, most = n, most - count
+    return least
+
+
+def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 250_000, grams: int = 2_900_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_coded and bits_per_byte for every row of docs
+    (doc_id, text). score is the log10 probability of the text, n_coded the bytes it is coded as, with the end, and
+    bits_per_byte the code length of these.
 
-    words: so many of the most frequent words go to all workers; the rest are joined by key. grams: the same for byte
-    contexts. Both bound broadcasts only; results do not depend on them but for rounding.
+    words: at most so many of the most frequent words go to all workers; the rest are joined by key. grams: the same for
+    byte contexts. Both bound broadcasts only; results do not depend on them but for the order of sums.
 
     Null text is empty: its end token is all it has. Rows where `held` is null are training rows. Null ids stay null;
     repeated rows count and come as often as they are. Long texts are read whole. With no training row every word is
@@ -338,20 +404,15 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
     total = total or 0
     if not 0 <= split <= depth <= 7:
         raise ValueError("contexts have at most 7 bytes, and split is one of their lengths")
-    weighed = weigh(written(count_grams(docs, held, depth)), depth, split)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weighed = weigh(count_grams(docs, held, depth, split, buckets), depth, split)
     room = total + 1 * (different + 1)
-    top = vocabulary.where("n > 0").orderBy(F.col("n").desc(), "word").limit(words).toArrow()
+    top = vocabulary.where(F.col("n") >= _least(vocabulary, words)).toArrow()
     common = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    histogram = weighed.groupBy("n").count().toArrow()
-    sizes = sorted(zip(histogram["n"].to_pylist(), histogram["count"].to_pylist(), strict=True), reverse=True)
-    least, room_left = (sizes[0][0] + 1 if sizes else 1), grams
-    for n, count in sizes:
-        if count > room_left:
-            break
-        least, room_left = n, room_left - count
+    least = _least(weighed, grams)
     near = weighed.where(F.col("n") >= least).select("gram", "logp").toArrow()
     shared = spark.sparkContext.broadcast((common, Table(near["gram"].to_numpy(), near["logp"].to_numpy())))
-    del near, top, histogram, sizes
+    del near, top
 
     def far_rows(owner: np.ndarray, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         """A row for each text and gram that is to be joined."""
@@ -360,11 +421,12 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
         wide[:, 1:] = keys.astype(">u8").view(np.uint8).reshape(k, 8)
         key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), k, [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary())
         zeros, nothing = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-        return pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, key, pa.array(times)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, zeros, key, pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
-        base = {w: float(np.log10((n + 1) / room)) for w, n in known.items()}
+        logs = {n: float(np.log10((n + 1) / room)) for n in set(known.values())}  # equal counts share a number
+        base = {w: logs[n] for w, n in known.items()}
         for batch in batches:
             for part in by_size(batch, 2):
                 ids = part.column(0).to_pylist()
@@ -385,15 +447,13 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
                         yield far_rows(np.array(ids[first : first + len(texts)], np.int64)[owner[far]], keys[far], times[far])
                 main = []
                 for rid, own in zip(ids, split_texts, strict=True):
+                    coded = sum(map(len, own)) + max(1, len(own))
                     own.append(END)
-                    total_base, n_known = 0.0, 0
-                    for w, n in Counter(own).items():
-                        if (x := base.get(w)) is not None:
-                            total_base += n * x
-                            n_known += n
-                        else:
-                            rows.append((rid, w, n))
-                    main.append((n_known, total_base, len(own)))
+                    found = list(map(base.get, own))
+                    if None in found:
+                        rows += [(rid, w, n) for w, n in Counter(w for w, x in zip(own, found, strict=True) if x is None).items()]
+                        found = [x for x in found if x is not None]
+                    main.append((len(found), sum(found), len(own), coded))
                 k = len(rows)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids + [r[0] for r in rows], pa.int64()),
@@ -401,16 +461,19 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
                     pa.concat_arrays([part.column(3), pa.nulls(k, pa.bool_())]),
                     pa.array([m[2] for m in main] + [0] * k, pa.int64()), pa.array([m[0] for m in main] + [0] * k, pa.int64()),
                     pa.array([m[1] for m in main] + [0.0] * k, pa.float64()), pa.array(scores.tolist() + [0.0] * k, pa.float64()),
+                    pa.array([m[3] for m in main] + [0] * k, pa.int64()),
                     pa.array([b" m" + int(i).to_bytes(8, "big") for i in ids] + [r[1] for r in rows], pa.binary()),
                     pa.array([0] * len(ids) + [r[2] for r in rows], pa.int64()),
                 ], names=names)
 
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, key binary, times long"
+    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_coded long, key binary, times long"
     names = [x.split()[0] for x in schema.split(", ")]
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held")).mapInArrow(run, schema)
     rest = vocabulary.select(F.col("word").alias("k"), F.log10((F.col("n") + 1) / F.lit(float(room))).alias("kb"), (F.col("n") > 0).cast("long").alias("kk"), F.lit(0.0).alias("ks"))
-    far = weighed.where(F.col("n") < least).select(F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("gram"), 16, "0"))).alias("k"), F.lit(0.0).alias("kb"), F.lit(0).cast("long").alias("kk"), F.col("logp").alias("ks"))
+    far = weighed.where(F.col("n") < least).select(F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("gram"), 16, "0"))).alias("k"), F.lit(0.0).alias("kb"), F.lit(0).cast("long").alias("kk"), F.col("logp").cast("double").alias("ks"))
     joined = rows.join(rest.unionByName(far), F.col("key") == F.col("k"), "left")
     part = lambda c: F.coalesce(F.col("times") * F.col(c), F.lit(0))
-    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + part("kk")).alias("n_known"), F.sum(F.col("base") + part("kb")).alias("base_score"), F.sum(F.col("score") + part("ks")).alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = {"n_tokens": F.col("n_tokens"), "n_known": F.col("n_known") + part("kk"), "base_score": F.col("base") + part("kb"), "score": F.col("score") + part("ks"), "n_coded": F.col("n_coded")}
+    out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    bits = -F.col("score") / F.lit(float(np.log10(2.0))) / F.col("n_coded")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_coded", bits.alias("bits_per_byte"))

@@ -7,14 +7,15 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_size
+
 ITEM = "struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>"
 WIDTH = 64
 _DIGEST = re.compile(r"sha256[:/-]([0-9a-f]{64})")
@@ -96,8 +97,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_size(batch, 1):
                 items = [[{n: x[n] for n in names} for x in parse(cell.as_py())] for cell in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(items, kind)], names=["key", *keep, "items"])
 
@@ -175,21 +175,34 @@ def feature(samples: np.ndarray) -> str:
     return f"{len(samples)}:{int(total[-1].sum()) * 1000 // samples.size}:{bits}"
 
 
-def render(key: str, text: str) -> str:
-    """A page that shows the text and refers to its payload by digest."""
-    digest = hashlib.sha256(payload(text.encode())).hexdigest()
-    return f'<article><p>{escape(text, quote=False)}</p><figure><img src="media/sha256-{digest}"><figcaption>{escape(key)}</figcaption></figure></article>'
+def _padded(text: Column) -> Column:
+    """payload() of a text as a column."""
+    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    zeros = F.when(n == 0, F.lit(WIDTH)).otherwise(F.pmod(-n, F.lit(WIDTH)))
+    return F.concat(raw, F.substring(F.lit(bytes(WIDTH)), F.lit(1), zeros))
 
 
-def pages_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, html: a rendered page for each document."""
+def digest(text: Column) -> Column:
+    return F.sha2(_padded(text), 256)
+
 
-    @F.pandas_udf("string")
-    def html(keys, texts):
-        return keys.combine(texts, lambda k, t: render(k or "", t or ""))
+def render(key: Column, text: Column) -> Column:
+    """A page as it is published: the text in paragraphs, its payload's figure after the first, captioned by the key."""
+    safe = F.coalesce(text.cast("string"), F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(entity))
+    caption = F.coalesce(key.cast("string"), F.lit(""))
+    figure = F.concat(F.lit('<figure><img src="media/sha256-'), digest(text), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    first = F.substring_index(safe, "\n", 1)
+    rest = F.substr(safe, F.length(first) + 1)
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.lit("<p>"), F.replace(rest, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article>"))
 
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, html: a rendered page for each document."""
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size, html(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("html"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size, render(F.col("doc_id"), F.col("text")).alias("html"))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -197,9 +210,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for part in by_size(batch, 0):
                 digests, kept = [], []
-                for cell in batch.column(0).slice(at, 256):
+                for cell in part.column(0):
                     data = payload((cell.as_py() or "").encode())
                     digests.append(hashlib.sha256(data).hexdigest()), kept.append(store(data))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["digest", "stored"])
@@ -231,7 +244,8 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each document's payload, found through the media reference of its page and read back from the stored form.
+    """Each document's payload, found through the media reference of its page and read back from the stored form, with the
+    position and caption that the reference has on the page.
 
     Null text is empty: its payload is 64 zero bytes. Texts that differ only in zero bytes at their ends share a payload
     but not n_bytes. A null doc_id stays null; repeated rows repeat; equal texts get equal values. Texts of any length

@@ -11,7 +11,6 @@ from .common import WORD, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-SHIFTS = 64
 
 
 def words(text: Column) -> Column:
@@ -30,8 +29,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     Targets share the sum of all sizes by weight; none is above cap times its source's size, and what is cut off goes to
     the others by weight until none is above. One pass over the sources for each round of cuts; the driver sees sums.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    rows = written(sizes.withColumn("rank", F.row_number().over(order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))))
+    numbered = ranked(sizes.select(F.lit(0).alias("all"), F.col("source").isNull().alias("last"), "source", "source_size"), "all", ["last", "source"])
+    rows = written(numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))))
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     limit, level = F.col("source_size") * cap, 0.0
     while True:
@@ -50,7 +49,8 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """rows with `place`: their rank from 0 within the group, without gathering a group in one task.
 
     Rows are range-partitioned over group and order, so a large group spans many partitions; a partition's first places
-    come from prefix sums over the (partition, group) counts, of which there are at most partitions + groups.
+    come from prefix sums over the (partition, group) counts, of which there are at most partitions + groups. Names that
+    begin with two underscores are its own.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(group).isNull(), F.col(group), *map(F.col, order)]
@@ -67,52 +67,55 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
                 last = x
                 own.append(at)
             columns = [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(own, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "own"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__part", "__own"])
 
-    schema = T.StructType([*rows.schema, T.StructField("part", T.IntegerType()), T.StructField("own", T.LongType())])
+    schema = T.StructType([*rows.schema, T.StructField("__part", T.IntegerType()), T.StructField("__own", T.LongType())])
     local = written(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(number, schema))
-    counts = local.groupBy("part", group).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col("part").alias("p"), F.col(group).alias("g"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return local.join(first, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g"))).withColumn("place", F.col("first") + F.col("own")).drop("part", "own", "p", "g", "first")
+    counts = local.groupBy("__part", group).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("__part").alias("__p"), F.col(group).alias("__g"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    placed = local.join(first, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    return placed.withColumn("place", F.col("__first") + F.col("__own")).drop("__part", "__own", "__p", "__g", "__first")
 
 
-def _copies(place: Column, expected: Column, offset: Column) -> Column:
-    return (F.floor((place + 1) * expected + offset) - F.floor(place * expected + offset)).cast("long")
-
-
-def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, shifts: int = SHIFTS) -> DataFrame:
+def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """rows (doc_id, source, size, and any others) with source_size, target and copies.
 
-    Each document of a source expects target / source_size copies. In a random order (by a hash of doc_id), the
-    expectations are summed up from one random offset a source, and a document is emitted once for each integer that its
-    sum steps over. The offset is, of `shifts` equally spaced ones from a random start, the one whose words come nearest
-    to the target (the first of these): a source of few documents, some very long, would miss it by far otherwise. No
-    document has over cap copies.
+    Each document of a source expects target / source_size copies. The expectations are summed up over the source's
+    documents in the order of their sizes, equal ones by a hash of doc_id, from one random offset a source, and a document
+    is emitted once for each integer that its sum steps over. In that order the copies are spread evenly over short and
+    long documents: a source's words miss its target by at most the size of its longest document. No document has over
+    cap copies.
 
     Null sources are one source, last in order. Documents of size 0 take part, with no words. A source whose size is 0
-    has target 0 and copies 0. Null ids are ordered first; repeated rows are documents of their own. Empty table: no row.
+    has target 0 and copies 0. Null ids are ordered first; repeated rows are documents of their own. Input columns named
+    source_size, target or copies are replaced; all other names are safe. Empty table: no row.
     """
-    rows = rows.withColumn("source", F.col("source").cast("string"))
+    names = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = rows.select(row, F.col("source").cast("string").alias("source"), "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"), "doc_id")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = written(targets(sizes, weights, cap).select(F.col("source").alias("s"), "source_size", "target", expected.alias("expected"), offset(F.col("source")).alias("start")))
-    at = ranked(rows.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "source", ["_h", "doc_id", "size"]).drop("_h")
-    joined = at.join(per, F.col("source").eqNullSafe(F.col("s")))
-    tried = joined.select("s", "target", "size", "place", "expected", "start", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("j"))
-    tried = tried.groupBy("s", "j").agg(F.abs(F.sum(_copies(F.col("place"), F.col("expected"), F.col("start") + F.col("j") / F.lit(float(shifts))) * F.col("size")) - F.first("target")).alias("miss"))
-    best = written(tried.groupBy(F.col("s").alias("b")).agg(F.min(F.struct("miss", "j"))["j"].alias("j")))
-    return joined.join(best, F.col("s").eqNullSafe(F.col("b"))).withColumn("copies", _copies(F.col("place"), F.col("expected"), F.col("start") + F.col("j") / F.lit(float(shifts)))).drop("s", "b", "j", "start", "expected", "place")
+    at = ranked(rows, "source", ["size", "hash", "doc_id"])
+    steps = F.floor((F.col("place") + 1) * F.col("expected") + F.col("start")) - F.floor(F.col("place") * F.col("expected") + F.col("start"))
+    joined = at.join(per, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.least(steps.cast("long"), F.lit(cap).cast("long")))
+    return joined.select("row.*", "source_size", "target", "copies")
 
 
 def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs (doc_id, source, text) with each row as often as mix() copies it; columns stay.
+    """docs (doc_id, source, text) with each row as often as mix() copies it; columns stay, whatever their names are.
 
     Rows are numbered and written once, and both sides of the join read that table, so numbers cannot shift between jobs.
-    Texts move once more, to meet their counts; the mix itself sees sizes only.
+    Texts move once more, to meet their counts; the mix itself sees sizes only. Null and empty texts have size 0 and may
+    be copied; null ids and sources and repeated rows are as in mix(). Empty table: no row.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    slim = numbered.select(F.col("_row").alias("_r"), "doc_id", "source", words(F.col(text).cast("string")).alias("size"))
-    taken = mix(slim, **options).where("copies > 0").select("_r", "copies")
-    joined = numbered.join(taken, F.col("_row") == F.col("_r"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    number = F.monotonically_increasing_id().alias("number")
+    numbered = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], number))
+    at = lambda c: F.col(f"c{names.index(c)}")
+    slim = numbered.select(F.col("number").alias("taken"), at("doc_id").alias("doc_id"), at("source").alias("source"), words(at(text).cast("string")).alias("size"))
+    taken = mix(slim, **options).where("copies > 0").select("taken", "copies")
+    joined = numbered.join(taken, F.col("number") == F.col("taken"))
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return joined.withColumn("time", times).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_size, written
 from .graph import components
 from .hashing import Prefixes, U, mix
 
@@ -125,7 +125,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
 
     Two documents are linked if their sets of word n-grams (words between white space, A-Z in lower case) have a Jaccard
     similarity of at least threshold. A class is a connected component of links; its id is its smallest doc_id. n_links
-    counts the other documents linked to this one.
+    counts the other rows linked to this one.
 
     1. Equal texts become one, with a count. MinHash signatures are banded, and rows shuffle on (band, hash). In a bucket
        every text meets the smallest one: as many rows as texts, whatever the bucket's size.
@@ -136,22 +136,29 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
 
     Pairs at the threshold are found with probability `recall`, more similar ones with more; nothing is linked without its
     sets being compared. Null and empty texts have no n-grams: no links, and each row its own class. Texts of fewer than n
-    words have one n-gram. Rows with a null id get a stand-in (below 0, from the text) while they are compared, null class ids
-    where no row of the class has an id. Rows that share an id are one document: one class. Empty table: no row.
+    words have one n-gram. Each row is a document of its own, whether it has no id or shares it with others; n_links counts
+    rows, and class_id is null where no row of the class has an id. Empty table: no row. Other columns are ignored.
     """
+    found, rows = _classes(docs, threshold, n, recall, most_hashes, block)
+    out = rows.select("doc_id", "key").join(found.select(F.col("key").alias("k"), "class_id", "n_links"), F.col("key") == F.col("k"), "left")
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, most_hashes: int, block: int, number: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, class, class_id and n_links of every different text, (doc_id, number, key) of every row); keys are digests of
+    texts, null for those without n-grams. number: the column of docs that tells rows apart, for callers that need it."""
     b, r = bands(threshold, recall, most_hashes)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    stand_in = -F.shiftrightunsigned(F.xxhash64(text), 1) - 1
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(number) if number else F.lit(None).cast("long")).alias("number"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         hashes = MinHash(b, r)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [_normal(c.as_py()) for c in part.column(2)]
+            for part in by_size(batch, 3):
+                texts = [_normal(c.as_py()) for c in part.column(3)]
                 keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in texts]
                 first = {}  # of equal texts one is signed
                 for i, k in enumerate(keys):
@@ -160,27 +167,28 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
                 own = [i for k, i in first.items() if k]
                 for i, s in zip(own, shingles([texts[i] for i in own], n), strict=True):
                     signed[i] = hashes.bands(s).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "number", "h", "key", "bands"])
 
-    rows = written(base.mapInArrow(sign, "doc_id long, id long, key binary, bands array<long>"))
-    texts = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("bands").alias("bands")))
+    rows = written(base.mapInArrow(sign, "doc_id long, number long, h long, key binary, bands array<long>"))
+    # one row stands for all of a text: the first by id, whose text is fetched again to be compared
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one")
+    texts = rows.where("key is not null").groupBy("key").agg(one, F.count(F.lit(1)).alias("copies"), F.max("bands").alias("bands"))
+    texts = written(texts.select("key", "one.doc_id", "one.h", "copies", "bands", F.monotonically_increasing_id().alias("rep")))
     dealt = texts.select("rep", F.posexplode("bands").alias("band", "hash"))
     meeting = dealt.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").drop("most")
-    # a text that shares its id with another one keeps its own rows: it meets them under that id
-    meetings = dealt.join(meeting, ["band", "hash"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    meetings = written(dealt.join(meeting, ["band", "hash"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     groups = written(components(meetings))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "component").join(texts.select("rep", "key", "copies"), F.col("node") == F.col("rep"))
+    members = groups.join(sizes, "component").join(texts.select("rep", "key", "copies", F.col("doc_id").alias("one"), F.col("h").alias("one_h")), F.col("node") == F.col("rep"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    members = members.select("rep", "key", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"))
-    wanted = base.join(members, F.col("id") == F.col("rep")).select("rep", "key", "copies", "component", "blocks", "own", "text")
+    members = members.select("rep", "key", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), "one", "one_h")
+    wanted = base.join(members, (F.col("h") == F.col("one_h")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("rep", "key", "copies", "component", "blocks", "own", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_size(batch, 6, most_rows=512):
                 texts = [_normal(c.as_py()) for c in part.column(6)]
                 right = [hashlib.blake2b(x, digest_size=16).digest() == k for x, k in zip(texts, part.column(1).to_pylist(), strict=True)]
                 sets = [s.tobytes() for s in shingles([x for x, y in zip(texts, right, strict=True) if y], n)]
@@ -192,7 +200,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     units = sets.select("rep", "key", "copies", "component", "own", "shingles", other.alias("other"))
     units = units.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.repartition(parts, "component", "x", "y").sortWithinPartitions("component", "x", "y", "rep", "key")
+    dealt = units.repartition(parts, "component", "x", "y").sortWithinPartitions("component", "x", "y", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
@@ -205,7 +213,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
                     done += _verified(held, unit, threshold)
                     unit, held = mark, []
                 row = tuple(columns[c][i].as_py() for c in columns)
-                if not held or held[-1][:2] != row[:2]:  # rows of one text under one id
+                if not held or held[-1][0] != row[0]:  # repeated rows are fetched as often as they come
                     held.append(row)
             yield _edges(done)
             done = []
@@ -214,11 +222,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     found = written(dealt.mapInArrow(verify, "a long, b long, n long"))
     links = found.groupBy("a").agg(F.sum("n").alias("n"))
     joined = components(found.select("a", "b"))
-    reps = texts.select("key", "rep", "copies").join(joined, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
-    reps = reps.select(F.col("key").alias("k"), F.coalesce("component", "rep").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("doc_id", "id", "key").join(reps, F.col("key") == F.col("k"), "left")
-    real = F.coalesce("class", F.col("id"))
-    return out.select("doc_id", F.when(real >= 0, real).otherwise(F.when(F.col("doc_id").isNotNull(), real)).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    reps = texts.select("key", "rep", "doc_id", "copies").join(joined, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
+    reps = written(reps.select("key", F.coalesce("component", "rep").alias("class"), "doc_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = reps.groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("class_id"))
+    return reps.join(least, F.col("class") == F.col("c")).select("key", "class", "class_id", "n_links"), rows.select("doc_id", "number", "key")
 
 
 def _verified(held: list[tuple], unit: tuple | None, threshold: float) -> list[tuple[int, int, int]]:
@@ -237,11 +244,19 @@ def _edges(done: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; all columns stay.
+def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, most_hashes: int = 96, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each class, the one with the smallest id (of several, the first written); columns stay, whatever
+    their names are.
 
-    Rows that share an id are one document: all of them stay or go. Rows without an id or without n-grams stay.
+    Rows without an id and repeated rows are copies like others: one of a class stays, one with an id if there is one. Rows
+    without n-grams (null and empty texts) all stay. Texts of any length are read whole. Empty table: no row.
     """
-    found = classes(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    names = docs.columns
+    at = lambda c: F.col(f"c{names.index(c)}")
+    numbered = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("number")))
+    found, rows = _classes(numbered.select(at("doc_id").alias("doc_id"), at("text").alias("text"), "number"), threshold, n, recall, most_hashes, block, "number")
+    of_class = rows.join(found.select(F.col("key").alias("k"), "class"), F.col("key") == F.col("k"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
+    first = of_class.groupBy("class").agg(F.min(place)["number"].alias("first"))
+    stays = written(first.select("first").unionByName(rows.where("key is null").select(F.col("number").alias("first"))))
+    return numbered.join(stays, F.col("number") == F.col("first"), "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import by_size, written
+
 FEATURES = ("log_words", "upper", "symbols", "bangs", "bars", "digits", "adjacent", "top_word", "repeats", "lines", "word_length", "short")
 _UPPER, _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = b"#$%&*+/<=>@\\^_`{|}~[]"
@@ -38,11 +40,11 @@ def features(text: str | None) -> list[float]:
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = 20_000, rounds: int = 25, ridge: float = 1.0) -> np.ndarray:
     """Weights (intercept last) of a logistic regression, by Newton's steps on a bounded sample of labelled rows.
 
-    The sample: the sample_rows rows with the smallest hash of the text. With one class only, the weights are 0 but for
-    the intercept; with no rows all are 0.
+    The sample: the sample_rows rows with the smallest hash of their features, which is all that leaves the executors. With
+    one class only, the weights are 0 but for the intercept; with no rows all are 0.
     """
     rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("double").alias("y")).where("y is not null")
-    got = scored_features(rows.withColumn("h", F.xxhash64("t")).orderBy("h", "y").limit(sample_rows), "t", ["y"]).collect()
+    got = scored_features(rows, "t", ["y"]).orderBy(F.xxhash64("features"), "y").limit(sample_rows).collect()
     weights = np.zeros(len(FEATURES) + 1)
     if not got:
         return weights
@@ -64,7 +66,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", sample_
 def scored_features(rows: DataFrame, text: str, keep: list[str], weights: np.ndarray | None = None) -> DataFrame:
     """The columns of keep with `features`, or with `evidence` (the classifier's log-odds) if weights are given.
 
-    A string text that is itself in keep goes to Python once.
+    A string text that is itself in keep goes to Python once. Texts are worked on in slices of bounded size.
     """
     name = "features" if weights is None else "evidence"
     carried = text in keep and isinstance(rows.schema[text].dataType, T.StringType)
@@ -72,8 +74,7 @@ def scored_features(rows: DataFrame, text: str, keep: list[str], weights: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_size(batch, place, most_rows=512):
                 x = [features(c.as_py()) for c in part.column(place)]
                 if weights is None:
                     out = pa.array(x, pa.list_(pa.float64()))
@@ -103,66 +104,90 @@ def _strength(groups: DataFrame, mean: str = "mean", n: str = "n", prior: str =
 
 
 def sites(evidence: DataFrame) -> DataFrame:
-    """host, path, n and posterior, from evidence (host, path, good); good is a label or the classifier's probability.
+    """host, path and what their posteriors are made of, from evidence (host, path, good); good is a label or the
+    classifier's probability: n and s (rows and their good ones), hn and hs (the host's), rate, k and k2 (the strengths of
+    the global rate and of the host), host_posterior and posterior.
 
     Good counts are summed by (host, path) with partial sums before the shuffle, hosts from these. A host's posterior
     shrinks to the global rate, a path's to its host's posterior, each by its level's own strength: sites with few
-    documents say little. Null hosts and paths are groups of their own.
+    documents say little. Null hosts and paths are groups of their own. No evidence: no row.
     """
     paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     total = hosts.agg(F.sum("hn"), F.sum("hs")).first()
     rate = float((total[1] + 1) / (total[0] + 2)) if total[0] else 0.5
     k = _strength(hosts.select((F.col("hs") / F.col("hn")).alias("mean"), F.col("hn").alias("n"), F.lit(rate).alias("prior")))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("hs") + k * rate) / (F.col("hn") + k)).alias("prior"))
+    hosts = hosts.withColumn("host_posterior", (F.col("hs") + k * rate) / (F.col("hn") + k)).withColumnRenamed("host", "h")
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k2 = _strength(paths.select((F.col("s") / F.col("n")).alias("mean"), "n", "prior"))
-    return paths.select("host", "path", "n", F.col("prior").alias("host_posterior"), ((F.col("s") + k2 * F.col("prior")) / (F.col("n") + k2)).alias("posterior"), F.lit(rate).alias("rate"))
+    k2 = _strength(paths.select((F.col("s") / F.col("n")).alias("mean"), "n", F.col("host_posterior").alias("prior")))
+    return paths.withColumns({"posterior": (F.col("s") + k2 * F.col("host_posterior")) / (F.col("n") + k2), "rate": F.lit(rate), "k": F.lit(k), "k2": F.lit(k2)})
 
 
 def combine(rows: DataFrame, posteriors: DataFrame, site_weight: float = 0.5) -> DataFrame:
-    """rows (host, path, evidence, ...) with site_posterior and score: evidence and the site's log-odds against the
-    global rate, as a probability. Skew of hosts is on the left side only; adaptive execution splits it."""
-    s = posteriors.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("posterior").alias("site_posterior"), F.col("rate").alias("_r"))
-    joined = rows.join(s, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left")
-    shift = F.coalesce(_logit(F.col("site_posterior")) - _logit(F.col("_r")), F.lit(0.0))
-    return joined.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + site_weight * shift)))).drop("_h", "_p", "_r")
+    """rows (host, path, evidence, good, ...) with site_posterior and score: evidence and the site's log-odds against the
+    global rate, as a probability.
+
+    site_posterior is what the site's other rows say: a row's own `good` is taken out of its path and host first, so that
+    neither its label nor its evidence counts again. Skew of hosts is on the left side only; adaptive execution splits it.
+    Rows whose site is not among the posteriors keep their evidence. Names that begin with two underscores are its own.
+    """
+    s = posteriors.select(*[F.col(c).alias(f"__{c}") for c in ("host", "path", "n", "s", "hn", "hs", "rate", "k", "k2")])
+    joined = rows.join(s, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path")), "left")
+    of = lambda c: F.col(f"__{c}")
+    host = (of("hs") - F.col("good") + of("k") * of("rate")) / (of("hn") - 1 + of("k"))
+    joined = joined.withColumn("__prior", host).withColumn("site_posterior", (of("s") - F.col("good") + of("k2") * of("prior")) / (of("n") - 1 + of("k2")))
+    shift = F.coalesce(_logit(F.col("site_posterior")) - _logit(of("rate")), F.lit(0.0))
+    return joined.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + site_weight * shift)))).drop(*s.columns, "__prior")
+
 
+def marks(labels: DataFrame) -> DataFrame:
+    """mark_id and quality: one label a document, the smallest of several. Labels without an id or a value are left out."""
+    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("mark_id")).agg(F.min("quality").cast("double").alias("quality"))
 
-def train(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """The classifier's weights, the site table (see sites) and the documents' evidence, from docs (doc_id, text) and labels (doc_id, quality).
 
-    A document with several labels has the smallest; labels without a document, or null, are left out.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> np.ndarray:
+    """The classifier's weights from docs (doc_id, text) and labels (doc_id, quality): see marks() and fit().
+
+    Of the documents that have labels, the texts of sample_rows (those with the smallest hash of their id) are read.
     """
-    from .common import written
+    found = docs.select(F.col("doc_id").alias("id")).join(marks(labels), F.col("id") == F.col("mark_id"), "left_semi").distinct()
+    picked = found.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(sample_rows)
+    picked = picked.join(marks(labels), F.col("id") == F.col("mark_id")).select("id", "quality")
+    # sample_rows rows at most are broadcast; only the sample's texts leave the scan
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    return fit(rows.select("text", "quality"), sample_rows=sample_rows)
+
 
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumnRenamed("doc_id", "_d")
-    # only the sample's texts leave the scan, so labels are joined to ids first
-    picked = marks.withColumn("h", F.xxhash64("_d")).orderBy("h", "_d").limit(20_000).select("_d", "quality")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_d"))  # 20,000 rows at most
-    weights = fit(rows.select("text", "quality"))
-    slim = scored_features(docs.select("text", "doc_id", host.cast("string").alias("host"), path.cast("string").alias("path")), "text", ["doc_id", "host", "path"], weights)
-    slim = written(slim)
-    good = slim.join(marks, F.col("doc_id") == F.col("_d"), "left").withColumn("good", F.coalesce(F.col("quality").cast("double"), 1 / (1 + F.exp(-F.col("evidence")))))
-    return weights, written(sites(good)), slim
+def _good(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("good", F.coalesce(F.col("quality"), 1 / (1 + F.exp(-F.col("evidence")))))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, evidence, site_posterior, score and kept (score of at least threshold), a row for each of docs.
 
     Null or empty texts have the features of an empty text. Null hosts, paths and ids are values of their own. Repeated
     rows repeat and count as often in their site. Without labels nothing is known: evidence 0, score 0.5, all kept. Texts of
     any length are read whole. An empty table gives no row. Other columns are ignored.
     """
-    _, posteriors, slim = train(docs, labels, host, path)
-    return combine(slim, posteriors).select("doc_id", "evidence", "site_posterior", "score", (F.col("score") >= threshold).alias("kept"))
+    weights = train(docs, labels, sample_rows)
+    slim = docs.select("text", "doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"))
+    slim = written(scored_features(slim, "text", ["doc_id", "host", "path"], weights))
+    # labels meet what is left of the documents, not their texts
+    good = _good(slim.join(marks(labels), F.col("doc_id") == F.col("mark_id"), "left"))
+    return combine(good, written(sites(good))).select("doc_id", "evidence", "site_posterior", "score", (F.col("score") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that classify() rejects; their columns stay."""
-    weights, posteriors, _ = train(docs, labels, host, path)
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
+    """docs without the rows that classify() rejects; their columns stay, whatever their names are.
+
+    Texts are scored once: rows meet their labels first, and are written with their evidence. Null and empty texts, nulls
+    elsewhere, repeated rows and missing labels are as in classify(). An empty table gives no row.
+    """
+    weights = train(docs, labels, sample_rows)
     names = docs.columns
-    # columns go by place, whatever their names are
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], host.cast("string").alias("host"), path.cast("string").alias("path"))
-    scored = scored_features(marked, f"_{names.index('text')}", marked.columns, weights)
-    return combine(scored, posteriors).where(F.col("score") >= threshold).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.cast("string").alias("host"), path.cast("string").alias("path"))
+    rows = rows.join(marks(labels), F.col(f"c{names.index('doc_id')}") == F.col("mark_id"), "left").drop("mark_id")
+    scored = written(scored_features(rows, f"c{names.index('text')}", rows.columns, weights))
+    good = _good(scored)
+    posteriors = written(sites(good.select("host", "path", "good")))
+    return combine(good, posteriors).where(F.col("score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -20,7 +20,7 @@ def op1_ctw_score(spark, sf_dir):
 
 
 def op2_media_columns(spark, sf_dir):
-    return media.document_media(table(spark, sf_dir, "documents")).drop("position", "caption")
+    return media.document_media(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_join(spark, sf_dir):
@@ -74,14 +74,9 @@ l AS (SELECT max((total - cut) / open_weight) AS level FROM o WHERE 3.0 * source
 t AS (SELECT source, source_size, least(weight * level, CAST(3 * source_size AS DOUBLE)) AS target,
              CASE WHEN source_size > 0 THEN least(weight * level, CAST(3 * source_size AS DOUBLE)) / source_size ELSE 0.0 END AS e,
              CAST(CAST('0x' || substr(md5(coalesce('s' || source, '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM s, l),
-r AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY t.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size) - 1 AS k
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-w AS (SELECT source, j, abs(sum((floor((k + 1) * e + (u + j / 64.0::DOUBLE)) - floor(k * e + (u + j / 64.0::DOUBLE))) * size) - any_value(target)) AS miss
-      FROM r, range(64) AS x(j) GROUP BY source, j),
-b AS (SELECT source, arg_min(j, (miss, j)) AS j FROM w GROUP BY source)
-SELECT r.doc_id, r.size, r.source_size, r.target,
-       CAST((floor((k + 1) * e + (u + b.j / 64.0::DOUBLE)) - floor(k * e + (u + b.j / 64.0::DOUBLE))) * size AS BIGINT) AS taken
-FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source
+r AS (SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY t.source ORDER BY d.size, md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS k
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(least(floor((k + 1) * e + u) - floor(k * e + u), 3) * size AS BIGINT) AS taken FROM r
 """,
     "op5_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings

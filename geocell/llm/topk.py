@@ -65,7 +65,8 @@ class ImpactIndex:
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v: floor(scale * component) as long. Vectors that are null, empty or hold null, NaN or infinity go."""
+    """vec_id and v: floor(scale * component) as long. Vectors that are null or hold null, NaN or infinity go; empty ones stay
+    and score 0 against each other."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad))

@@ -66,9 +66,11 @@ def test_lm_counts_and_base(docs):
         got = lm.score(docs, held_out(7), depth=4, split=2, **options).collect()
         assert {r.train_tokens for r in got} == {n}
         assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-        total = round(sum(r.score for r in got), 2)
-        assert options == {} or total == first
-        first = total
+        coded = {r.doc_id: len(b" ".join(lower_words(r.text))) + 1 for r in rows}
+        assert all(r.n_coded == coded[r.doc_id] and r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_coded) for r in got)
+        scores = sorted((r.doc_id or -1, r.score) for r in got)
+        assert options == {} or scores == [(i, pytest.approx(x, abs=1e-9)) for i, x in first]
+        first = scores
 
 
 def test_lm_is_context_tree_weighting(spark):
@@ -132,28 +134,67 @@ def grams(t, n=5):
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_duplicates(docs, block):
-    rows = [(r.doc_id, grams(r.text)) for r in docs.collect() if r.doc_id is not None]
-    ids = sorted({i for i, _ in rows})
-    root = {i: i for i in ids}
-    links = collections.Counter()
+def near_classes(rows):
+    """Class and number of links of each row (doc_id, text), by comparing all pairs."""
+    sets = [grams(t) for _, t in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
-    for k, (i, a) in enumerate(rows):
-        for j, b in rows[k + 1 :]:
-            if a and b and len(a & b) >= 0.8 * len(a | b):
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
                 links[i] += 1
-                links[j] += 1 if i != j else 0
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    got = neardup.classes(docs, block=block).where("doc_id is not null").collect()
-    assert {r.doc_id: r.class_id for r in got} == {i: find(i) for i in ids}
-    assert {r.doc_id: r.n_links for r in got if r.doc_id != 3} == {i: links[i] for i in ids if i != 3}
-    kept = {r.doc_id for r in neardup.keep_one(docs).collect()}
-    assert kept == {find(i) for i in ids} | {None}
+                links[j] += 1
+                root[find(i)] = find(j)
+    members = collections.defaultdict(list)
+    for i in range(len(rows)):
+        members[find(i)].append(i)
+    least = {r: min((rows[i][0] for i in own if rows[i][0] is not None), default=None) for r, own in members.items()}
+    return [(rows[i][0], least[find(i)], links[i]) for i in range(len(rows))], members
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates(spark, docs, texts, block):
+    # rows without an id beside rows with one, copies without any id, a repeated id with another text, repeated rows
+    more = spark.createDataFrame([(None, texts[0]), (None, texts[1] + " more"), (None, "lone " + texts[9]), (None, "lone " + texts[9]), (4, texts[20]), (77, texts[6]), (77, texts[6])], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more)
+    rows = [tuple(r) for r in df.collect()]
+    want, members = near_classes(rows)
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [tuple(r) for r in neardup.classes(df, block=block).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = collections.Counter(r.doc_id for r in neardup.keep_one(df).collect())
+    assert sum(kept.values()) == len(members)
+    assert kept == collections.Counter(min((rows[i][0] for i in own if rows[i][0] is not None), default=None) for own in members.values())
+
+
+def test_near_duplicate_recall(spark):
+    """All pairs at the threshold or above in a driver table, by brute force."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want, _ = near_classes(rows)
+    got = {tuple(r) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(want)
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1040)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(90)] + [(5000, 5000)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    from geocell.llm import graph
+
+    for hot in (0.5, 0.01):
+        got = graph.components(spark.createDataFrame(edges, "a long, b long"), hot=hot).collect()
+        assert {r.node: r.component for r in got} == {x: find(x) for x in root} and len(got) == len(root)
 
 
 def test_band_choice():
@@ -303,12 +344,51 @@ def test_packing(docs):
     sequences = collections.defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
-    for parts in sequences.values():
+    short = 0
+    of_task = collections.Counter(q >> 32 for q in sequences)
+    for number, parts in sequences.items():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
-        assert at <= 2048 and at & (at - 1) == 0
+        assert at <= 2048
+        if at not in (256, 512, 1024, 2048):
+            assert 2048 - 256 < at or of_task[number >> 32] == 1
+            short += 1
+    assert short <= docs.rdd.getNumPartitions()
+    groups = collections.defaultdict(lambda: collections.defaultdict(int))
+    for r in rows:
+        groups[r.step_group, r.tier][r.sequence_id] += r.length**2
+    for (_, tier), cost in groups.items():
+        assert 1 <= len(cost) <= 1.5 * 16384 / tier
+
+
+def test_packing_balances_step_groups():
+    rng = random.Random(4)
+    packer = packing._Packer((2048, 1024, 512, 256), 16384, 0)
+    packer.pack([(k, bytes(4 * rng.choice([3, 40, 700, 2500, 9000]))) for k in range(2000)])
+    packer.finish()
+    t = packer.rows().to_pylist()
+    cost, number = collections.defaultdict(int), collections.defaultdict(set)
+    for r in t:
+        cost[r["tier"], r["step_group"]] += r["length"] ** 2
+        number[r["tier"], r["step_group"]].add(r["sequence_id"])
+    for tier in {k[0] for k in cost}:
+        sizes = [len(number[k]) for k in number if k[0] == tier]
+        assert max(sizes) - min(sizes) <= 1
+        costs = [cost[k] / len(number[k]) for k in cost if k[0] == tier]
+        assert len(costs) == 1 or max(costs) - min(costs) <= 0.2 * max(costs)
+    assert sum(r["length"] for r in t) == sum({r["doc_id"]: r["doc_tokens"] for r in t}.values())
+
+
+def test_packing_of_little(spark):
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for texts, lengths in ((["a b"], [3]), (["a b c"], [4]), ([None], [1]), ([" a" * 2300], [512, 1789]), ([" a" * 2047], [2048])):
+        rows = packing.pack(frame(texts), *tokenizer()).collect()
+        by = collections.Counter()
+        for r in rows:
+            by[r.sequence_id] += r.length
+        assert sorted(by.values()) == lengths
 
 
 def test_pii_patterns():
@@ -361,15 +441,26 @@ def test_pii_field_links_every_word_of_a_span(spark):
 
 
 def test_lm_runs_of_whole_shards():
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(8) | rng.integers(0, 256, 3000).astype(np.uint64))
+    n = rng.integers(0, 9, len(grams))
+    runs = list(lm._runs(grams, n, 1, most=200))
+    assert len(runs) > 5 and sorted(zip(*(np.concatenate(x).tolist() for x in zip(*runs, strict=True)), strict=True)) == list(zip(grams.tolist(), n.tolist(), strict=True))
+    assert sum(len(set((k >> np.uint64(8)).tolist())) for k, _ in runs) == len(set((grams >> np.uint64(8)).tolist()))  # no shard is in two runs
+    assert not list(lm._runs(grams[:0], n[:0], 1))
+
+
+def test_lm_packs_grams():
     import pyarrow as pa
 
-    rng = np.random.default_rng(1)
-    grams = np.sort(rng.integers(0, 40, 3000).astype(np.int64)) << 8  # sorted by the one context byte
-    batches = [pa.RecordBatch.from_arrays([pa.array(grams[a : a + 64])], names=["gram"]) for a in range(0, len(grams), 64)]
-    runs = [t["gram"].to_numpy() for t in lm._shards(iter([batches[0].slice(0, 0), *batches]), 1, most=200)]
-    assert np.array_equal(np.concatenate(runs), grams) and len(runs) > 5
-    assert sum(len(set(r)) for r in runs) == len(set(grams))  # no shard is in two runs
-    assert not list(lm._shards(iter([]), 1))
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    n = rng.integers(0, 1 << 40, len(keys))
+    got = lm._unpacked(lm._packed(keys, n))
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], n)
+    marks = [0, 0, 1, 1, 1, 4, 4, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(m, pa.int32())], names=["bucket"]) for m in ([], marks[:3], marks[3:4], marks[4:])]
+    assert [t["bucket"].to_pylist() for t in lm._buckets(iter(batches))] == [[0, 0], [1, 1, 1], [4, 4], [5]]
 
 
 @pytest.mark.parametrize("depth", [6, 7])
