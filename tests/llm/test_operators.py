@@ -300,6 +300,32 @@ def test_suffixes(docs):
     assert got == want
 
 
+def test_suffixes_across_boundaries(spark, monkeypatch):
+    """Buckets so small that equal suffixes lie on both sides of a boundary."""
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [(k, f"{words(rng, rng.randint(0, 30))} {passage[rng.randint(0, 60):]}") for k in range(40)] + [(k, "y" * 150) for k in range(50, 56)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    taken = [(passage.encode() + b" " * 100)[k : k + 100] for k in range(0, 200, 7)] + [b"y" * 100] * 12
+    place = np.array([rng.randint(0, 56) for _ in taken], np.int64)
+    zeros = np.zeros(len(taken), np.int64)
+    wall = np.sort(suffixes._sortable(np.frombuffer(b"".join(taken), np.uint8).reshape(-1, 100), place, zeros, zeros + 20))
+    monkeypatch.setattr(suffixes, "_splitters", lambda *a, **k: wall)
+    seen = []
+    across = suffixes._across
+    monkeypatch.setattr(suffixes, "_across", lambda *a: seen.append(across(*a)) or seen[0])
+    want = collections.Counter((i, *x) for (i, _), x in zip(rows, removed([(0, i, t.encode()) for i, t in rows]), strict=True))
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(df).collect()) == want
+    assert seen[0].count() > 0  # boundaries did matter
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(6)
+    for rows, most in ((0, 3), (1, 3), (700, 2), (3000, 5), (3000, 1 << 62)):
+        t = rng.integers(0, most, (rows, 5), dtype=np.uint64)
+        assert t[suffixes.multikey_quicksort(t, small=8)].tolist() == sorted(t.tolist())
+
+
 def test_tokens_equal_the_tokenizer():
     import public_tokenizers as P
     from tokenizers import Tokenizer
