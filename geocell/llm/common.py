@@ -45,18 +45,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back: a cut in the lineage that outlives executors.
 
-    The files go when the driver ends.
+    The files go when the driver ends. rows: about how many there are, where that is known: small tables get few files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geocell-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 100_000))
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with its columns as c0, c1, ..., the row's hash `row` and its `id`: rows with the same two are repeated rows. So
+    jobs can tell rows apart without writing texts to number them."""
+    names = docs.columns
+    columns = [F.col(f"`{c}`") for c in names]
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)], F.xxhash64(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+
+
+def picked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of docs that chosen (row, id as identified() has them; times, copies) names, each `copies` times, where
+    `times` rows of docs are the same. Columns stay, whatever their names are. Read chosen from a written table."""
+    base, names = identified(docs), docs.columns
+    wanted = chosen.select(F.col("row").alias("_row"), F.col("id").alias("_id"), "times", "copies")
+    same = (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
+    found = base.join(wanted.where("times = 1"), same)
+    if wanted.where("times > 1").limit(1).count():
+        found = found.unionByName(base.join(wanted.where("times > 1"), same).dropDuplicates(["row", "id"]))
+    if wanted.where("copies > 1").limit(1).count():
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def by_size(batch, column: int, most_bytes: int = 4 << 20, most_rows: int = 1024):
     """Slices of an Arrow batch of bounded text size; a longer text is a slice of its own."""
     import pyarrow.compute as pc

@@ -28,10 +28,10 @@ def components(edges: DataFrame, hot: float = 1e-3) -> DataFrame:
     def stars(e: DataFrame, total: int, large: bool) -> DataFrame:
         if large:  # every larger neighbour goes to the smallest of the neighbourhood
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
             return met(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # here b < a: all smaller neighbours and the node itself
-        least = written(e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = met(e, least, total)
         return moved.select("a", F.col("m").alias("b")).unionByName(moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -39,8 +39,8 @@ def components(edges: DataFrame, hot: float = 1e-3) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = sums(now)
     while before[0]:
-        large = written(stars(now, before[0], True))
-        now = written(stars(large, before[0], False))
+        large = written(stars(now, before[0], True), before[0])
+        now = written(stars(large, before[0], False), before[0])
         after = sums(now)
         if after == before:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, identified, picked, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -93,11 +93,11 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """
     names = [c for c in rows.columns if c not in ("source_size", "target", "copies")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    rows = rows.select(row, F.col("source").cast("string").alias("source"), "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"), "doc_id")
+    rows = rows.select(row, F.col("source").cast("string").alias("source"), "size", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("hash"), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie"))
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = written(targets(sizes, weights, cap).select(F.col("source").alias("s"), "source_size", "target", expected.alias("expected"), offset(F.col("source")).alias("start")))
-    at = ranked(rows, "source", ["size", "hash", "doc_id"])
+    at = ranked(rows, "source", ["size", "hash", "doc_id", "tie"])
     steps = F.floor((F.col("place") + 1) * F.col("expected") + F.col("start")) - F.floor(F.col("place") * F.col("expected") + F.col("start"))
     joined = at.join(per, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.least(steps.cast("long"), F.lit(cap).cast("long")))
     return joined.select("row.*", "source_size", "target", "copies")
@@ -106,16 +106,11 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 def sample(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs (doc_id, source, text) with each row as often as mix() copies it; columns stay, whatever their names are.
 
-    Rows are numbered and written once, and both sides of the join read that table, so numbers cannot shift between jobs.
-    Texts move once more, to meet their counts; the mix itself sees sizes only. Null and empty texts have size 0 and may
-    be copied; null ids and sources and repeated rows are as in mix(). Empty table: no row.
+    Texts move once, to meet their counts; the mix itself sees sizes only. Null and empty texts have size 0 and may be
+    copied; null ids and sources are as in mix(); repeated rows are copied as often as all of them are. Empty table: no row.
     """
-    names = docs.columns
-    number = F.monotonically_increasing_id().alias("number")
-    numbered = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], number))
-    at = lambda c: F.col(f"c{names.index(c)}")
-    slim = numbered.select(F.col("number").alias("taken"), at("doc_id").alias("doc_id"), at("source").alias("source"), words(at(text).cast("string")).alias("size"))
-    taken = mix(slim, **options).where("copies > 0").select("taken", "copies")
-    joined = numbered.join(taken, F.col("number") == F.col("taken"))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return joined.withColumn("time", times).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    base = identified(docs)
+    at = lambda c: F.col(f"c{docs.columns.index(c)}")
+    slim = base.select("row", F.col("id").alias("doc_id"), at("source").alias("source"), words(at(text).cast("string")).alias("size"))
+    taken = mix(slim, **options).groupBy("row", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("times"), F.sum("copies").alias("copies"))
+    return picked(docs, written(taken.where("copies > 0")))

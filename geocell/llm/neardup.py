@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, written
+from .common import by_size, identified, picked, written
 from .graph import components
 from .hashing import Prefixes, U, mix
 
@@ -139,26 +139,26 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     words have one n-gram. Each row is a document of its own, whether it has no id or shares it with others; n_links counts
     rows, and class_id is null where no row of the class has an id. Empty table: no row. Other columns are ignored.
     """
-    found, rows = _classes(docs, threshold, n, recall, most_hashes, block)
+    found, rows = _classes(docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("row")), threshold, n, recall, most_hashes, block)
     out = rows.select("doc_id", "key").join(found.select(F.col("key").alias("k"), "class_id", "n_links"), F.col("key") == F.col("k"), "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _classes(docs: DataFrame, threshold: float, n: int, recall: float, most_hashes: int, block: int, number: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, class, class_id and n_links of every different text, (doc_id, number, key) of every row); keys are digests of
-    texts, null for those without n-grams. number: the column of docs that tells rows apart, for callers that need it."""
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, most_hashes: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(key, class, class_id and n_links of every different text, (doc_id, row, key) of every row of docs (doc_id, text, row));
+    keys are digests of texts, null for those without n-grams. row: a hash by which a text is found again."""
     b, r = bands(threshold, recall, most_hashes)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(number) if number else F.lit(None).cast("long")).alias("number"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", text.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         hashes = MinHash(b, r)
         for batch in batches:
-            for part in by_size(batch, 3):
-                texts = [_normal(c.as_py()) for c in part.column(3)]
+            for part in by_size(batch, 2):
+                texts = [_normal(c.as_py()) for c in part.column(2)]
                 keys = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in texts]
                 first = {}  # of equal texts one is signed
                 for i, k in enumerate(keys):
@@ -167,22 +167,22 @@ def _classes(docs: DataFrame, threshold: float, n: int, recall: float, most_hash
                 own = [i for k, i in first.items() if k]
                 for i, s in zip(own, shingles([texts[i] for i in own], n), strict=True):
                     signed[i] = hashes.bands(s).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "number", "h", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "row", "key", "bands"])
 
-    rows = written(base.mapInArrow(sign, "doc_id long, number long, h long, key binary, bands array<long>"))
+    rows = written(base.mapInArrow(sign, "doc_id long, row long, key binary, bands array<long>"))
     # one row stands for all of a text: the first by id, whose text is fetched again to be compared
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")
     texts = rows.where("key is not null").groupBy("key").agg(one, F.count(F.lit(1)).alias("copies"), F.max("bands").alias("bands"))
-    texts = written(texts.select("key", "one.doc_id", "one.h", "copies", "bands", F.monotonically_increasing_id().alias("rep")))
+    texts = written(texts.select("key", "one.doc_id", "one.row", "copies", "bands", F.monotonically_increasing_id().alias("rep")))
     dealt = texts.select("rep", F.posexplode("bands").alias("band", "hash"))
     meeting = dealt.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").drop("most")
     meetings = written(dealt.join(meeting, ["band", "hash"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     groups = written(components(meetings))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "component").join(texts.select("rep", "key", "copies", F.col("doc_id").alias("one"), F.col("h").alias("one_h")), F.col("node") == F.col("rep"))
+    members = groups.join(sizes, "component").join(texts.select("rep", "key", "copies", F.col("doc_id").alias("one"), F.col("row").alias("one_row")), F.col("node") == F.col("rep"))
     blocks = F.ceil(F.col("size") / block).cast("int")
-    members = members.select("rep", "key", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), "one", "one_h")
-    wanted = base.join(members, (F.col("h") == F.col("one_h")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("rep", "key", "copies", "component", "blocks", "own", "text")
+    members = members.select("rep", "key", "copies", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), "one", "one_row")
+    wanted = base.join(members, (F.col("row") == F.col("one_row")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("rep", "key", "copies", "component", "blocks", "own", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -225,7 +225,7 @@ def _classes(docs: DataFrame, threshold: float, n: int, recall: float, most_hash
     reps = texts.select("key", "rep", "doc_id", "copies").join(joined, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
     reps = written(reps.select("key", F.coalesce("component", "rep").alias("class"), "doc_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = reps.groupBy(F.col("class").alias("c")).agg(F.min("doc_id").alias("class_id"))
-    return reps.join(least, F.col("class") == F.col("c")).select("key", "class", "class_id", "n_links"), rows.select("doc_id", "number", "key")
+    return reps.join(least, F.col("class") == F.col("c")).select("key", "class", "class_id", "n_links"), rows.select("doc_id", "row", "key")
 
 
 def _verified(held: list[tuple], unit: tuple | None, threshold: float) -> list[tuple[int, int, int]]:
@@ -245,18 +245,19 @@ def _edges(done: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, most_hashes: int = 96, block: int = BLOCK) -> DataFrame:
-    """docs with one row of each class, the one with the smallest id (of several, the first written); columns stay, whatever
-    their names are.
+    """docs with one row of each class, the one with the smallest id (of several, that with the smallest hash); columns stay,
+    whatever their names are.
 
     Rows without an id and repeated rows are copies like others: one of a class stays, one with an id if there is one. Rows
     without n-grams (null and empty texts) all stay. Texts of any length are read whole. Empty table: no row.
     """
-    names = docs.columns
-    at = lambda c: F.col(f"c{names.index(c)}")
-    numbered = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("number")))
-    found, rows = _classes(numbered.select(at("doc_id").alias("doc_id"), at("text").alias("text"), "number"), threshold, n, recall, most_hashes, block, "number")
+    base, at = identified(docs), docs.columns.index("text")
+    found, rows = _classes(base.select(F.col("id").alias("doc_id"), F.col(f"c{at}").alias("text"), "row"), threshold, n, recall, most_hashes, block)
     of_class = rows.join(found.select(F.col("key").alias("k"), "class"), F.col("key") == F.col("k"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
-    first = of_class.groupBy("class").agg(F.min(place)["number"].alias("first"))
-    stays = written(first.select("first").unionByName(rows.where("key is null").select(F.col("number").alias("first"))))
-    return numbered.join(stays, F.col("number") == F.col("first"), "left_semi").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = of_class.groupBy("class").agg(F.min(place).alias("x")).select("x.row", F.col("x.doc_id").alias("id")).withColumn("copies", F.lit(1))
+    # rows without n-grams stay as often as they come
+    empty = rows.where("key is null").groupBy("row", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    times = rows.groupBy(F.col("row").alias("r"), F.col("doc_id").alias("i")).agg(F.count(F.lit(1)).alias("times"))
+    same = (F.col("row") == F.col("r")) & F.col("id").eqNullSafe(F.col("i"))
+    return picked(docs, written(first.unionByName(empty).join(times, same).select("row", "id", "times", "copies")))

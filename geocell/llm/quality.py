@@ -104,9 +104,9 @@ def _strength(groups: DataFrame, mean: str = "mean", n: str = "n", prior: str =
 
 
 def sites(evidence: DataFrame) -> DataFrame:
-    """host, path and what their posteriors are made of, from evidence (host, path, good); good is a label or the
-    classifier's probability: n and s (rows and their good ones), hn and hs (the host's), rate, k and k2 (the strengths of
-    the global rate and of the host), host_posterior and posterior.
+    """host, path and what their posteriors are made of, from evidence (host, path, good); good is the classifier's
+    probability, or any other from 0 to 1: n and s (rows and their good ones), hn and hs (the host's), rate, k and k2 (the
+    strengths of the global rate and of the host), host_posterior and posterior.
 
     Good counts are summed by (host, path) with partial sums before the shuffle, hosts from these. A host's posterior
     shrinks to the global rate, a path's to its host's posterior, each by its level's own strength: sites with few
@@ -128,7 +128,7 @@ def combine(rows: DataFrame, posteriors: DataFrame, site_weight: float = 0.5) ->
     global rate, as a probability.
 
     site_posterior is what the site's other rows say: a row's own `good` is taken out of its path and host first, so that
-    neither its label nor its evidence counts again. Skew of hosts is on the left side only; adaptive execution splits it.
+    its evidence does not count twice. Skew of hosts is on the left side only; adaptive execution splits it.
     Rows whose site is not among the posteriors keep their evidence. Names that begin with two underscores are its own.
     """
     s = posteriors.select(*[F.col(c).alias(f"__{c}") for c in ("host", "path", "n", "s", "hn", "hs", "rate", "k", "k2")])
@@ -158,36 +158,37 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> np.n
     return fit(rows.select("text", "quality"), sample_rows=sample_rows)
 
 
-def _good(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("good", F.coalesce(F.col("quality"), 1 / (1 + F.exp(-F.col("evidence")))))
+def _scored(docs: DataFrame, host: Column, path: Column, weights: np.ndarray, columns: list[str]) -> DataFrame:
+    """The columns as c0, c1, ..., with host, path, evidence and good (the classifier's probability)."""
+    rows = docs.select(F.col("text").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], host.cast("string").alias("host"), path.cast("string").alias("path"))
+    text = f"c{columns.index('text')}" if "text" in columns else "text"
+    scored = scored_features(rows, text, [c for c in rows.columns if c != "text"], weights)
+    return scored.withColumn("good", 1 / (1 + F.exp(-F.col("evidence"))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
     """doc_id, evidence, site_posterior, score and kept (score of at least threshold), a row for each of docs.
 
+    Labels train the classifier and nothing else: no document's own label is in its score but by the weights.
+
     Null or empty texts have the features of an empty text. Null hosts, paths and ids are values of their own. Repeated
     rows repeat and count as often in their site. Without labels nothing is known: evidence 0, score 0.5, all kept. Texts of
     any length are read whole. An empty table gives no row. Other columns are ignored.
     """
     weights = train(docs, labels, sample_rows)
-    slim = docs.select("text", "doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"))
-    slim = written(scored_features(slim, "text", ["doc_id", "host", "path"], weights))
-    # labels meet what is left of the documents, not their texts
-    good = _good(slim.join(marks(labels), F.col("doc_id") == F.col("mark_id"), "left"))
-    return combine(good, written(sites(good))).select("doc_id", "evidence", "site_posterior", "score", (F.col("score") >= threshold).alias("kept"))
+    slim = written(_scored(docs, host, path, weights, ["doc_id"]))
+    scored = combine(slim, written(sites(slim)))
+    return scored.select(F.col("c0").alias("doc_id"), "evidence", "site_posterior", "score", (F.col("score") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
     """docs without the rows that classify() rejects; their columns stay, whatever their names are.
 
-    Texts are scored once: rows meet their labels first, and are written with their evidence. Null and empty texts, nulls
-    elsewhere, repeated rows and missing labels are as in classify(). An empty table gives no row.
+    Texts are scored twice, for their sites and for themselves, so that they are neither written nor moved in between. Null
+    and empty texts, nulls elsewhere, repeated rows and missing labels are as in classify(). An empty table gives no row.
     """
     weights = train(docs, labels, sample_rows)
     names = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], host.cast("string").alias("host"), path.cast("string").alias("path"))
-    rows = rows.join(marks(labels), F.col(f"c{names.index('doc_id')}") == F.col("mark_id"), "left").drop("mark_id")
-    scored = written(scored_features(rows, f"c{names.index('text')}", rows.columns, weights))
-    good = _good(scored)
-    posteriors = written(sites(good.select("host", "path", "good")))
-    return combine(good, posteriors).where(F.col("score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    posteriors = written(sites(written(_scored(docs, host, path, weights, ["doc_id"]))))
+    scored = combine(_scored(docs, host, path, weights, names), posteriors)
+    return scored.where(F.col("score") >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
