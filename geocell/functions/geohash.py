@@ -42,24 +42,51 @@ def encode_index(x: Column, y: Column, precision: int) -> Column:
     return F.concat(*letters)
 
 
-def to_long(geohash: Column) -> Column:
-    """Five bits a letter; letters beyond the twelfth do not count."""
-    codes = F.transform(F.split(F.substring(F.lower(geohash), 1, 12), ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    return F.aggregate(F.filter(codes, lambda v: v >= 0), F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 5).bitwiseOR(v.cast("long")))
-
+def _letter(geohash: Column, k: int) -> Column:
+    """Value of the letter at place k (from 0); -1 beyond the end, and for what is no letter of a geohash."""
+    letter = F.substring(F.lower(geohash), k + 1, 1)
+    return F.when(letter == "", -1).otherwise(F.instr(F.lit(ALPHABET), letter) - 1)
 
-def _half(code: Column, total: Column, first: int) -> Column:
-    """Every second bit of a code of `total` bits, from bit `first`."""
-    places = F.when(total > first, F.sequence(F.lit(first).cast("int"), total - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, j: a * 2 + F.call_function("shiftright", code, total - 1 - j).bitwiseAND(F.lit(1)))
 
-
-def decode(geohash: Column) -> Column:
-    """struct(lat_lo, lat_hi, lon_lo, lon_hi) of a geohash of up to 12 letters."""
-    code, total = to_long(geohash), (F.length(geohash) * 5).cast("int")
-    nx, ny = F.pow(F.lit(2.0), F.floor((total + 1) / 2)), F.pow(F.lit(2.0), F.floor(total / 2))
-    x, y = _half(code, total, 0), _half(code, total, 1)
-    return F.struct((-90 + y * 180.0 / ny).alias("lat_lo"), (-90 + (y + 1) * 180.0 / ny).alias("lat_hi"), (-180 + x * 360.0 / nx).alias("lon_lo"), (-180 + (x + 1) * 360.0 / nx).alias("lon_hi"))
+def to_long(geohash: Column) -> Column:
+    """Five bits a letter; letters beyond the twelfth do not count, nor do characters that are no letters of a geohash."""
+    value = F.lit(0).cast("long")
+    for k in range(12):
+        v = _letter(geohash, k)
+        value = value * F.when(v >= 0, 32).otherwise(1) + F.greatest(v, F.lit(0))  # each step holds the one before once only
+    return value
+
+
+def cell(geohash: Column, precision: int = 12) -> tuple[Column, Column]:
+    """(x, y) of the cell among those of `precision` letters; of a shorter geohash, its south-western one."""
+    x = y = F.lit(0).cast("long")
+    for k in range(precision):
+        v = F.greatest(_letter(geohash, k), F.lit(0)).cast("long")
+        bit = lambda j: F.shiftright(v, 4 - j).bitwiseAND(F.lit(1))  # noqa: B023, E731
+        first, second = (bit(0) * 4 + bit(2) * 2 + bit(4), 3), (bit(1) * 2 + bit(3), 2)
+        (to_x, nx), (to_y, ny) = (first, second) if k % 2 == 0 else (second, first)
+        x, y = F.shiftleft(x, nx) + to_x, F.shiftleft(y, ny) + to_y
+    return x, y
+
+
+def decode(geohash: Column, precision: int | None = None) -> Column:
+    """struct(lat_lo, lat_hi, lon_lo, lon_hi) of a geohash of `precision` letters, or of any number up to 12 where none is
+    given. Plain shifts over its letters: places among the cells of that size, exact in doubles."""
+    n = precision or 12
+    nx, ny = bits(n)
+    x, y = cell(geohash, n)
+    wide = high = F.lit(1).cast("long")
+    if precision is None:  # a shorter geohash is as large as all that begin with it
+        total = F.least(F.length(geohash), F.lit(12)) * 5
+        one = F.lit(1).cast("long")
+        wide, high = F.call_function("shiftleft", one, (nx - F.floor((total + 1) / 2)).cast("int")), F.call_function("shiftleft", one, (ny - F.floor(total / 2)).cast("int"))
+    lat, lon = (lambda v: -90 + v * 180.0 / F.lit(float(1 << ny))), (lambda v: -180 + v * 360.0 / F.lit(float(1 << nx)))
+    return F.struct(lat(y).alias("lat_lo"), lat(y + high).alias("lat_hi"), lon(x).alias("lon_lo"), lon(x + wide).alias("lon_hi"))
+
+
+def bit_string(geohash: Column, precision: int) -> Column:
+    """The geohash as binary digits, five a letter."""
+    return F.concat(*[F.lpad(F.bin(_letter(geohash, k)), 5, "0") for k in range(precision)])
 
 
 def center(box: Column) -> Column:
@@ -78,24 +105,49 @@ def corners(box: Column) -> Column:
     return F.array(*[corner(box, d) for d in ("sw", "nw", "ne", "se")])
 
 
+def bounds(box: Column) -> Column:
+    """North-west, north-east, south-east, south-west."""
+    return F.array(*[corner(box, d) for d in ("nw", "ne", "se", "sw")])
+
+
+def bounds_2d(box: Column) -> Column:
+    """North-west and south-east."""
+    return F.array(corner(box, "nw"), corner(box, "se"))
+
+
 def wrap(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Longitudes go round. Latitudes beyond a pole come out at the other one: that is how the rule is, right or not."""
     lat = F.when(lat > 90, lat - 180).when(lat < -90, lat + 180).otherwise(lat)
     return lat, F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
 
 
-def neighbour(box: Column, direction: str, precision: int) -> Column:
-    """The cell of the same size next to a box; '' for an unknown direction."""
+def encode_wrapped(lat: Column, lon: Column, precision: int) -> Column:
+    """Of a point beyond the borders: wrapped first; an edge belongs to the cell below it. In doubles: up to six letters these
+    are the cells that single precision gives."""
+    return encode(*wrap(lat, lon), precision, "low")
+
+
+def encode_center(box: Column, precision: int) -> Column:
+    c = center(box)
+    return encode(c["lat"], c["lon"], precision)
+
+
+def neighbour(geohash: Column, direction: str, precision: int) -> Column:
+    """The cell of the same size next to one of `precision` letters; '' for an unknown direction, an error for a blank
+    geohash. Rows and columns of cells go round, as wrap() has it."""
     if direction not in DIRECTIONS:
         return F.lit("")
-    c, high, wide = center(box), box["lat_hi"] - box["lat_lo"], box["lon_hi"] - box["lon_lo"]
+    nx, ny = bits(precision)
+    x, y = cell(geohash, precision)
     up, right = ("n" in direction) - ("s" in direction), ("e" in direction) - ("w" in direction)
-    return encode(*wrap(c["lat"] + up * high, c["lon"] + right * wide), precision)
+    around = lambda v, n: v.bitwiseAND(F.lit((1 << n) - 1))
+    found = encode_index(around(x + right, nx), around(y + up, ny), precision)
+    return F.when(F.trim(geohash) == "", F.raise_error(F.lit("blank geohash")).cast("string")).otherwise(found)
 
 
-def neighbours(box: Column, precision: int) -> Column:
+def neighbours(geohash: Column, precision: int) -> Column:
     """The eight neighbours: nw, n, ne, w, e, sw, s, se."""
-    return F.array(*[neighbour(box, d, precision) for d in DIRECTIONS])
+    return F.array(*[neighbour(geohash, d, precision) for d in DIRECTIONS])
 
 
 def grid_xy(lat: Column, lon: Column) -> Column:

@@ -67,6 +67,63 @@ def overlap(ring: Ring, box: tuple) -> Fraction:
     return abs(sum((p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True)), Fraction(0))) / 2
 
 
+def _area(points: list) -> Fraction:
+    return sum((p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True)), Fraction(0)) / 2
+
+
+def _triangles(ring: Ring) -> list[list]:
+    """Of a simple polygon, ear by ear, each counter-clockwise."""
+    points = [(Fraction(a), Fraction(b)) for (a, b), _ in edges(ring)]
+    if _area(points) < 0:
+        points.reverse()
+    out = []
+    while len(points) > 2:
+        for k in range(len(points)):
+            ear = [points[k - 1], points[k], points[(k + 1) % len(points)]]
+            area = _area(ear)
+            rest = [p for p in points if p not in ear]
+            if area == 0 or area > 0 and not any(all(_area([ear[i], ear[(i + 1) % 3], p]) >= 0 for i in range(3)) for p in rest):
+                out += [ear] * (area > 0)
+                del points[k]
+                break
+        else:
+            raise ValueError("the polygon crosses itself")
+    return out
+
+
+def shared_area(ring: Ring, other: Ring) -> Fraction:
+    """Exact area that two simple polygons share: one's triangles, cut at the other's edges by half-planes."""
+    total = Fraction(0)
+    for first in _triangles(ring):
+        for second in _triangles(other):
+            points = first
+            for p, q in zip(second, second[1:] + second[:1], strict=True):
+                side = [(q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0]) for v in points]
+                out = []
+                for k, (v, d) in enumerate(zip(points, side, strict=True)):
+                    w, e = points[(k + 1) % len(points)], side[(k + 1) % len(points)]
+                    if d >= 0:
+                        out.append(v)
+                    if d * e < 0:
+                        t = d / (d - e)
+                        out.append((v[0] + t * (w[0] - v[0]), v[1] + t * (w[1] - v[1])))
+                points = out
+                if not points:
+                    break
+            total += _area(points) if points else 0
+    return total
+
+
+def intersects(ring: Ring, other: Ring) -> bool:
+    """Whether two simple polygons share area; a common edge or corner is none."""
+    return shared_area(ring, other) > 0
+
+
+def encloses(ring: Ring, other: Ring) -> bool:
+    """Whether the first holds all of the second's area."""
+    return shared_area(ring, other) == abs(_area([(Fraction(a), Fraction(b)) for (a, b), _ in edges(other)]))
+
+
 def relation(ring: Ring, geohash: str) -> int:
     """-1 no area in common, 0 the cell lies inside, 1 part of it does."""
     box = decode(geohash)
@@ -88,3 +145,20 @@ def cover(ring: Ring, precision: int, adaptive: bool = False) -> list[tuple[str,
             done += [(c, r) for c, r in met if r == ENCLOSED or k == precision]
         level = [c for c, r in met if not (adaptive and r == ENCLOSED)]
     return sorted(done)
+
+
+def cell_of(lat: float, lon: float, precision: int) -> str:
+    """The geohash of a point."""
+    total = 5 * precision
+    nx, ny = (total + 1) // 2, total // 2
+    x = min(int((Fraction(lon) + 180) * (1 << nx) / 360), (1 << nx) - 1)
+    y = min(int((Fraction(lat) + 90) * (1 << ny) / 180), (1 << ny) - 1)
+    code = "".join(str((y >> (ny - 1 - k // 2)) & 1 if k % 2 else (x >> (nx - 1 - k // 2)) & 1) for k in range(total))
+    return "".join(ALPHABET[int(code[k : k + 5], 2)] for k in range(0, total, 5))
+
+
+def cover_from_center(ring: Ring, precision: int) -> list[tuple[str, int]]:
+    """cover() for a search that begins at the centre of the polygon's box: nothing where that cell misses a concave polygon."""
+    lo_lat, hi_lat, lo_lon, hi_lon = mbr(ring)
+    seed = cell_of((lo_lat + hi_lat) / 2, (lo_lon + hi_lon) / 2, precision)
+    return [] if relation(ring, seed) == DISJOINT else cover(ring, precision)

@@ -10,7 +10,8 @@ def period(ts: Column, unit: str) -> Column:
     """struct(start_ms, end_ms) of the hour, day, month or year a timestamp without zone lies in."""
     start = F.date_trunc(unit, ts)
     end = {"hour": F.expr("interval 1 hour"), "day": F.expr("interval 1 day"), "month": F.expr("interval 1 month"), "year": F.expr("interval 1 year")}[unit]
-    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ms = lambda c: F.timestamp_diff("MILLISECOND", zero, c.cast("timestamp_ntz"))
     return F.struct(ms(start).alias("start_ms"), (ms(start + end) - 1).alias("end_ms"))
 
 

@@ -11,6 +11,7 @@ ENTRY_BYTES = 2080
 SPLIT_SLACK = 1500
 MOVE_SLACK = 1000
 HOT, DONOR, OFFER = 0.85, 0.35, 0.30
+LEAST_MEMORY = 0.1
 
 
 def stats(routed: DataFrame) -> DataFrame:
@@ -20,6 +21,21 @@ def stats(routed: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(sums))  # one row
 
 
+def node_stats(routed: DataFrame, placed: DataFrame) -> DataFrame:
+    """node, part, cnt, and on each row the node's total and non_empty; rows of partitions without a node are left out.
+
+    Counts are summed by partition before they meet the placement (part, node), which has 20,000 partitions at most.
+    """
+    counts = routed.groupBy("part").agg(F.count(F.lit(1)).alias("cnt")).join(placed.where("node is not null"), "part")
+    per = counts.groupBy("node").agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("non_empty"))
+    return counts.join(per, "node").select("node", "part", "cnt", "total", "non_empty")
+
+
+def of_group(nodes: DataFrame, group) -> DataFrame:
+    """The nodes with an attribute grp of this value."""
+    return nodes.where(F.col("grp") == F.lit(group))
+
+
 def without_ghosts(counts: DataFrame, ghosts: DataFrame) -> DataFrame:
     """counts (part, cnt) less what ghosts (part, cnt) are only copies of."""
     g = ghosts.select(F.col("part").alias("_p"), F.col("cnt").alias("_g"))
@@ -39,11 +55,15 @@ def top_fifth(counts: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(n)).where("rank <= k").select("part", "cnt", "rank")
 
 
-def power_law(counts: DataFrame) -> DataFrame:
-    """One row: total, top (what the largest fifth holds) and skewed (nearly four fifths or more)."""
+def power_law(counts: DataFrame, region_mb: float | None = None) -> DataFrame:
+    """One row: total, top (what the largest fifth holds) and skewed (nearly four fifths or more). With region_mb, the node's
+    memory, a node that uses less than a tenth of it is never skewed."""
     total = counts.agg(F.sum("cnt").alias("total"))
     top = top_fifth(counts).agg(F.sum("cnt").alias("top"))
-    return total.join(top).select("total", "top", (F.floor(F.col("total") * 4 / 5) - F.col("top") <= SPLIT_SLACK).alias("skewed"))
+    skewed = F.floor(F.col("total") * 4 / 5) - F.col("top") <= SPLIT_SLACK
+    if region_mb is not None:
+        skewed &= F.col("total") * ENTRY_BYTES / F.lit(1048576.0) / F.lit(region_mb) >= LEAST_MEMORY
+    return total.join(top).select("total", "top", skewed.alias("skewed"))
 
 
 def hot_node(nodes: DataFrame) -> DataFrame:
@@ -69,18 +89,21 @@ def donor(nodes: DataFrame) -> DataFrame:
 
 
 def to_move(counts: dict[int, int]) -> list[int]:
-    """Partitions to move off a node: from the largest outwards, the right neighbour if there is one, else the left, until
-    two thirds are nearly reached or an end is. Sequential by nature, over 20,000 counts at most."""
+    """Partitions to move off a node: the largest, then outwards the right neighbour if there is one, else the left, until
+    less than MOVE_SLACK is missing of two thirds, which is looked at after each step, or either side leaves the range.
+    Sequential by nature, over 20,000 counts at most."""
     goal = sum(counts.values()) * 2 // 3
     if goal <= MOVE_SLACK:
         return []
     start = min(counts, key=lambda p: (-counts[p], p))
-    low, high, moved, done = min(counts), max(counts), counts[start], [start]
+    low, high, left, done = min(counts), max(counts), goal - counts[start], [start]
     step = 1
-    while goal - moved >= MOVE_SLACK and start + step <= high and start - step >= low:
+    while low <= start - step and start + step <= high:
         at = start + step if start + step in counts else start - step
         if at in counts:
             done.append(at)
-            moved += counts[at]
+            left -= counts[at]
+        if left < MOVE_SLACK:
+            break
         step += 1
     return done

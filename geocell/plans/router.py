@@ -65,3 +65,62 @@ def donated(placed: DataFrame, moves: DataFrame) -> DataFrame:
 
 def split_override(placed: DataFrame, start: int, end: int, node: int) -> DataFrame:
     return placed.withColumn("node", F.when(F.col("part").between(start, end), F.lit(node)).otherwise(F.col("node")))
+
+
+def prefixes_of(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """part, prefix of the map's cells in the partitions of parts (part); a partition may have several."""
+    return cells.join(F.broadcast(parts.select("part").distinct()), "part", "left_semi").select("part", "prefix")
+
+
+def keep_previous(placed: DataFrame, before: DataFrame) -> DataFrame:
+    """placed (part, node) where a node has left: partitions that had a node keep it, others get the new one."""
+    old = before.groupBy("part").agg(F.min("node").alias("_before"))
+    return placed.join(old, "part", "left").select("part", F.coalesce("_before", "node").alias("node"))
+
+
+def moved(routed: DataFrame, before: DataFrame, after: DataFrame, geohash: str = "geohash") -> DataFrame:
+    """The rows of routed (geohash, part, ...) whose partition is another one in the map `after` than in `before`, with
+    part and new_part. Only partitions whose prefixes went from the map are read, and only those rows are rewritten."""
+    gone = before.join(after.select("prefix"), "prefix", "left_anti").select("part").distinct()
+    affected = routed.join(F.broadcast(gone), "part", "left_semi").withColumnRenamed("part", "_old")  # a map has 20,000 cells at most
+    again = route(affected, after, geohash).withColumnsRenamed({"part": "new_part", "_old": "part"})
+    return again.where("part <> new_part")
+
+
+def semi_filter(points: DataFrame, valid: list[str], precision: int, geohash: str = "geohash") -> DataFrame:
+    """The rows of points (geohash of `precision` letters) that share area with one of the valid cells: equal on the shorter
+    one's letters, so one equality join for each length of the valid ones."""
+    spark, out, met = points.sparkSession, points, F.lit(False)
+    for n in sorted({min(len(v), precision) for v in valid}):
+        keys = sorted({v[:n] for v in valid if min(len(v), precision) == n})
+        own = spark.createDataFrame([(k,) for k in keys], f"_key{n} string")
+        out = out.join(own, F.substring(F.col(geohash), 1, n) == F.col(f"_key{n}"), "left")
+        met = met | F.col(f"_key{n}").isNotNull()
+    return out.where(met).select(*[F.col(f"`{c}`") for c in points.columns])
+
+
+def save(cells: DataFrame, folder: str) -> None:
+    """A new version of the map beside the old ones; readers see it once it is whole."""
+    spark = cells.sparkSession
+    if cells.limit(MAX_PARTITIONS + 1).count() > MAX_PARTITIONS:
+        raise ValueError("the cell map is too large")
+    version = max(_versions(spark, folder), default=-1) + 1
+    cells.coalesce(1).write.parquet(f"{folder}/map-{version:06d}")
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """The last whole version; an error where there is none, as an empty map would answer every query with nothing."""
+    versions = _versions(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"no cell map in {folder}")
+    return spark.read.schema("prefix string, part int").parquet(f"{folder}/map-{max(versions):06d}")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [f.getPath() for f in files.listStatus(path)]
+    whole = [f.getName() for f in found if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return [int(n[4:]) for n in whole if n.startswith("map-") and n[4:].isdigit()]

@@ -9,6 +9,7 @@ from .functions import polygon as P
 from .functions import temporal
 from .operators import knn, skew
 from .plans import polygon_query, router
+from .sources import observations as obs
 from .sources.observations import latest, points_of_events
 
 A = G.ALPHABET
@@ -74,8 +75,7 @@ def sql_inside(ring):
 
 
 def sql_polygon(ring, select):
-    rows = ", ".join(f"('{c}', {r})" for c, r in P.cover(ring, 2))
-    return f"WITH {PTS}, h AS ({sql_hash(2, cols='event_id, lat, lon')}), c(prefix, cls) AS (VALUES {rows}) SELECT {select} FROM h JOIN c ON h.geohash = c.prefix WHERE cls = 0 OR {sql_inside(ring)}"
+    return f"WITH {PTS} SELECT {select} FROM pts WHERE {sql_inside(ring)}"
 
 
 MAP = f"SELECT substr('{A}', CAST(i // 32 AS INT) + 1, 1) || substr('{A}', CAST(i % 32 AS INT) + 1, 1) AS prefix, CAST(i AS INT) AS part FROM range(1024) t(i)"
@@ -94,7 +94,7 @@ for _p, _tie in ((2, "high"), (4, "high"), (6, "high"), (12, "high"), (6, "low")
 
 @query("geohash_decode_box", f"WITH {PTS}, h AS ({sql_hash(6)}) SELECT event_id, {sql_box(6)} FROM h")
 def decode_box(spark, d):
-    return hashed(spark, d, 6).select("event_id", G.decode(F.col("geohash")).alias("b")).select("event_id", "b.*")
+    return hashed(spark, d, 6).select("event_id", G.decode(F.col("geohash"), 6).alias("b")).select("event_id", "b.*")
 
 
 @query("geohash_to_long", f"WITH {PTS}, h AS ({sql_hash(12)}) SELECT event_id, " + " + ".join(f"(CAST(instr('{A}', substr(geohash, {k + 1}, 1)) - 1 AS BIGINT) << {55 - 5 * k})" for k in range(12)) + " AS code FROM h")
@@ -117,8 +117,7 @@ _moves = " UNION ALL ".join(f"SELECT event_id, {k} AS pos, (lat_lo + lat_hi) / 2
 
 @query("geohash_neighbours", f"WITH {PTS}, h AS ({sql_hash(4)}), b AS (SELECT event_id, {sql_box(4)} FROM h), n AS ({_moves}), w AS (SELECT event_id, pos, CASE WHEN la > 90 THEN la - 180 WHEN la < -90 THEN la + 180 ELSE la END AS lat, CASE WHEN lo > 180 THEN lo - 360 WHEN lo < -180 THEN lo + 360 ELSE lo END AS lon FROM n) {sql_hash(4, source='w', cols='event_id, pos', name='neighbour')}")
 def neighbours(spark, d):
-    boxes = hashed(spark, d, 4).select("event_id", G.decode(F.col("geohash")).alias("b"))
-    return boxes.select("event_id", F.posexplode(G.neighbours(F.col("b"), 4)).alias("pos", "neighbour"))
+    return hashed(spark, d, 4).select("event_id", F.posexplode(G.neighbours(F.col("geohash"), 4)).alias("pos", "neighbour"))
 
 
 @query("grid_xy_compat", f"WITH {PTS} SELECT event_id, CAST(trunc((CAST(lon AS FLOAT) + 180::FLOAT) * 1073741824::FLOAT / 360::FLOAT) AS INT) AS x, CAST(trunc((90::FLOAT - CAST(lat AS FLOAT)) * 1073741824::FLOAT / 180::FLOAT) AS INT) AS y FROM pts")
@@ -172,11 +171,32 @@ def cover_p3(spark, d):
     return spark.createDataFrame(P.cover(P.BOX_US, 3), "cell string, cls int")
 
 
-@query("polygon_cover_adaptive")
+def sql_cells(p, ring):
+    """cell, cls of the cells of p letters that a convex polygon meets: no side of either parts them."""
+    nx, ny = G.bits(p)
+    points = [a for a, _ in P.edges(ring)]
+    if sum(a[1] * b[0] - b[1] * a[0] for a, b in P.edges(ring)) < 0:
+        points.reverse()  # counter-clockwise, as (lon, lat)
+    lats, lons = zip(*points, strict=True)
+    inner, outer = [], [f"lo < {max(lons)} AND lo + {360 / (1 << nx)} > {min(lons)} AND la < {max(lats)} AND la + {180 / (1 << ny)} > {min(lats)}"]
+    for (a, x), (b, y) in zip(points, points[1:] + points[:1], strict=True):
+        side = [f"({y - x!r}::DOUBLE * (la + {i * 180 / (1 << ny)} - {a}) - {b - a!r}::DOUBLE * (lo + {j * 360 / (1 << nx)} - {x}))" for i in (0, 1) for j in (0, 1)]
+        outer.append(f"greatest({', '.join(side)}) > 0")
+        inner.append(f"least({', '.join(side)}) >= 0")
+    grid = f"SELECT ix, iy, -180 + ix * 360.0::DOUBLE / {1 << nx} AS lo, -90 + iy * 180.0::DOUBLE / {1 << ny} AS la FROM range({1 << nx}) x(ix), range({1 << ny}) y(iy)"
+    return f"SELECT {sql_letters(p)} AS cell, CASE WHEN {' AND '.join(inner)} THEN 0 ELSE 1 END AS cls FROM ({grid}) WHERE {' AND '.join(outer)}"
+
+
+@query("polygon_cover_adaptive", f"WITH a AS ({sql_cells(1, P.CONTINENT)}), b AS ({sql_cells(2, P.CONTINENT)}), c AS ({sql_cells(3, P.CONTINENT)}) SELECT * FROM a WHERE cls = 0 UNION ALL SELECT b.* FROM b JOIN a ON a.cell = substr(b.cell, 1, 1) WHERE b.cls = 0 AND a.cls = 1 UNION ALL SELECT c.* FROM c JOIN b ON b.cell = substr(c.cell, 1, 2) WHERE b.cls = 1")
 def cover_adaptive(spark, d):
     return spark.createDataFrame(P.cover(P.CONTINENT, 3, adaptive=True), "cell string, cls int")
 
 
+@query("polygon_cover_from_center", f"WITH c AS ({sql_cells(3, P.TRIANGLE)}) SELECT * FROM c")
+def cover_center(spark, d):
+    return spark.createDataFrame(P.cover_from_center(P.TRIANGLE, 3), "cell string, cls int")
+
+
 @query("cell_relation", f"WITH m AS ({MAP}), b AS (SELECT prefix, {sql_box(2, 'prefix')} FROM m) SELECT prefix, CASE WHEN lat_lo >= 44.06 OR lat_hi <= 34.08 OR lon_lo >= -101.05 OR lon_hi <= -112.06 THEN -1 WHEN lat_lo >= 34.08 AND lat_hi <= 44.06 AND lon_lo >= -112.06 AND lon_hi <= -101.05 THEN 0 ELSE 1 END AS cls FROM b")
 def cell_relation(spark, d):
     cells = router.base_map(spark)
@@ -184,9 +204,10 @@ def cell_relation(spark, d):
     return cells.join(F.broadcast(met), "prefix", "left").select("prefix", F.coalesce("cls", F.lit(P.DISJOINT)).alias("cls"))
 
 
-@query("polygon_mbr", f"SELECT {min(v[0] for v in P.CONTINENT)}::DOUBLE AS lat_lo, {max(v[0] for v in P.CONTINENT)}::DOUBLE AS lat_hi, {min(v[1] for v in P.CONTINENT)}::DOUBLE AS lon_lo, {max(v[1] for v in P.CONTINENT)}::DOUBLE AS lon_hi")
+@query("polygon_mbr", f"WITH {PTS} SELECT min(lat) AS lat_lo, max(lat) AS lat_hi, min(lon) AS lon_lo, max(lon) AS lon_hi FROM pts WHERE {sql_inside(P.CONTINENT)}")
 def polygon_mbr(spark, d):
-    return spark.createDataFrame([P.mbr(P.CONTINENT)], "lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+    inside = in_polygon(spark, d, P.CONTINENT)
+    return inside.agg(F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"))
 
 
 @query("bbox_filter", f"WITH {PTS} SELECT event_id, lat, lon FROM pts WHERE lat BETWEEN 34.08 AND 44.06 AND lon BETWEEN -112.06 AND -101.05")
@@ -200,8 +221,90 @@ _VALID = ["c2", "c8", "9r", "9x", "9q", "9w"]
 
 @query("hash_semi_filter", f"WITH {PTS}, h AS ({sql_hash(4)}) SELECT event_id, geohash FROM h WHERE EXISTS (SELECT 1 FROM (VALUES {', '.join(f'({v!r})' for v in _VALID)}) v(g) WHERE starts_with(h.geohash, v.g) OR starts_with(v.g, h.geohash))")
 def hash_semi_filter(spark, d):
-    valid = spark.createDataFrame([(v,) for v in _VALID], "g string")
-    return hashed(spark, d, 4).join(F.broadcast(valid), G.intersects(F.col("geohash"), F.col("g")), "left_semi").select("event_id", "geohash")
+    return router.semi_filter(hashed(spark, d, 4), _VALID, 4).select("event_id", "geohash")
+
+
+@query("geohash_encode_wrap", f"WITH {PTS}, o AS (SELECT event_id, lat * 1.25 AS la, lon * 1.25 AS lo FROM pts), w AS (SELECT event_id, CASE WHEN la > 90 THEN la - 180 WHEN la < -90 THEN la + 180 ELSE la END AS lat, CASE WHEN lo > 180 THEN lo - 360 WHEN lo < -180 THEN lo + 360 ELSE lo END AS lon FROM o) {sql_hash(6, 'low', source='w')}")
+def encode_wrap(spark, d):
+    return points(spark, d).select("event_id", G.encode_wrapped(F.col("lat") * 1.25, F.col("lon") * 1.25, 6).alias("geohash"))
+
+
+@query("geohash_encode_center", f"WITH {PTS}, h AS ({sql_hash(3)}), b AS (SELECT event_id, {sql_box(3)} FROM h), c AS (SELECT event_id, (lat_lo + lat_hi) / 2 AS lat, (lon_lo + lon_hi) / 2 AS lon FROM b) {sql_hash(5, source='c')}")
+def encode_center(spark, d):
+    return hashed(spark, d, 3).select("event_id", G.encode_center(G.decode(F.col("geohash"), 3), 5).alias("geohash"))
+
+
+@query("box_bounds", f"WITH {PTS}, h AS ({sql_hash(4)}), b AS (SELECT event_id, {sql_box(4)} FROM h) SELECT event_id, 'bounds' AS kind, 0 AS pos, lat_hi AS lat, lon_lo AS lon FROM b UNION ALL SELECT event_id, 'bounds', 1, lat_hi, lon_hi FROM b UNION ALL SELECT event_id, 'bounds', 2, lat_lo, lon_hi FROM b UNION ALL SELECT event_id, 'bounds', 3, lat_lo, lon_lo FROM b UNION ALL SELECT event_id, '2d', 0, lat_hi, lon_lo FROM b UNION ALL SELECT event_id, '2d', 1, lat_lo, lon_hi FROM b")
+def box_bounds(spark, d):
+    boxes = hashed(spark, d, 4).select("event_id", G.decode(F.col("geohash"), 4).alias("b"))
+    kinds = [boxes.select("event_id", F.lit(k).alias("kind"), F.posexplode(f(F.col("b")))) for k, f in (("bounds", G.bounds), ("2d", G.bounds_2d))]
+    return kinds[0].unionByName(kinds[1]).select("event_id", "kind", "pos", "col.*")
+
+
+_BITS = " || ".join(f"CAST(((instr('{A}', substr(geohash, {k // 5 + 1}, 1)) - 1) >> {4 - k % 5}) & 1 AS VARCHAR)" for k in range(20))
+
+
+@query("geohash_bits", f"WITH {PTS}, h AS ({sql_hash(4)}) SELECT event_id, {_BITS} AS bits, 20 AS n_bits FROM h")
+def geohash_bits(spark, d):
+    return hashed(spark, d, 4).select("event_id", G.bit_string(F.col("geohash"), 4).alias("bits")).withColumn("n_bits", F.length("bits"))
+
+
+@query("hash_encloses", f"WITH {PTS}, h AS ({sql_hash(4)}) SELECT event_id, starts_with(geohash, '9x') AS inside FROM h")
+def hash_encloses(spark, d):
+    return hashed(spark, d, 4).select("event_id", G.encloses(F.lit("9x"), F.col("geohash")).alias("inside"))
+
+
+# ---- sources -------------------------------------------------------------------------------------------------------
+
+LINES = f"""{PTS}, l AS (SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 'LAT,LON,TS' WHEN event_id % 37 = 0 THEN 'n/a,' || event_id
+  ELSE CAST(event_id % 180 - 90 AS VARCHAR) || '.5,' || CAST(event_id * 7 % 360 - 180 AS VARCHAR) || '.25,t' || event_id || ',payload' END AS value FROM pts)"""
+
+
+def csv_lines(spark, d):
+    e = F.col("event_id")
+    text = F.concat((e % 180 - 90).cast("string"), F.lit(".5,"), (e * 7 % 360 - 180).cast("string"), F.lit(".25,t"), e, F.lit(",payload"))
+    return points(spark, d).select("event_id", F.when(e % 100 == 0, "LAT,LON,TS").when(e % 37 == 0, F.concat(F.lit("n/a,"), e)).otherwise(text).alias("value"))
+
+
+_parsed = f"{LINES}, f AS (SELECT event_id, string_split(value, ',') AS f FROM l WHERE NOT starts_with(value, 'LAT')), v AS (SELECT event_id, TRY_CAST(f[1] AS DOUBLE) AS lat, TRY_CAST(f[2] AS DOUBLE) AS lon, f[3] AS ts_raw FROM f)"
+
+
+@query("csv_scan", f"WITH {_parsed} SELECT event_id, lat, lon, ts_raw, lat IS NOT NULL AND lon IS NOT NULL AS good FROM v")
+def csv_scan(spark, d):
+    return obs.parse(csv_lines(spark, d)).select("event_id", "lat", "lon", "ts_raw", "good")
+
+
+@query("csv_bad_rows", f"WITH {_parsed} SELECT CAST(count(*) AS BIGINT) AS bad FROM v WHERE lat IS NULL OR lon IS NULL")
+def csv_bad_rows(spark, d):
+    return obs.parse(csv_lines(spark, d)).where("not good").agg(F.count(F.lit(1)).alias("bad"))
+
+
+@query("csv_keys", f"WITH {_parsed}, h AS ({sql_hash(12, source='v', cols='event_id, ts_raw, lat')}) SELECT event_id, geohash, substr(geohash, 1, 5) AS sub_geohash, ts_raw FROM h WHERE lat IS NOT NULL")
+def csv_keys(spark, d):
+    return obs.keyed(obs.parse(csv_lines(spark, d)).where("good"), 5).select("event_id", "geohash", "sub_geohash", "ts_raw")
+
+
+@query("point_lookup", f"WITH {PTS}, h AS ({sql_hash(4)}) SELECT event_id, geohash FROM h WHERE event_id = 77")
+def point_lookup(spark, d):
+    return obs.lookup(hashed(spark, d, 4).select("event_id", "geohash"), {"event_id": 77})
+
+
+@query("put_rows", f"WITH {PTS}, h AS ({sql_hash(4)}) SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'new' ELSE geohash END AS geohash FROM h UNION ALL SELECT -1, 'new'")
+def put_rows(spark, d):
+    rows = hashed(spark, d, 4).select("event_id", "geohash")
+    new = rows.where("event_id % 5 = 0").select("event_id", F.lit("new").alias("geohash")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("new").alias("geohash")))
+    return obs.put(rows, new, ["event_id"])
+
+
+@query("remove_rows", f"WITH {PTS}, h AS ({sql_hash(2)}) SELECT event_id, geohash FROM h WHERE event_id % 3 <> 0")
+def remove_rows(spark, d):
+    rows = hashed(spark, d, 2).select("event_id", "geohash")
+    return obs.remove(rows, rows.where("event_id % 3 = 0").select("event_id"))
+
+
+@query("clear_rows", f"WITH {PTS} SELECT event_id, lat FROM pts WHERE false")
+def clear_rows(spark, d):
+    return obs.clear(points(spark, d).select("event_id", "lat"))
 
 
 # ---- routing -------------------------------------------------------------------------------------------------------
@@ -222,6 +325,23 @@ def route_split(spark, d):
     return routed(spark, d, [HOT]).select("event_id", "part")
 
 
+@query("single_partition_scan", f"WITH {PTS}, h AS ({sql_hash(6)}), m AS ({MAP}), {ROUTED} SELECT event_id, geohash FROM r WHERE part = 301")
+def single_partition(spark, d):
+    return routed(spark, d).where("part = 301").select("event_id", "geohash")
+
+
+@query("partition_prefixes", f"WITH m AS ({SPLIT}) SELECT part, prefix FROM m WHERE part IN (0, 301, 1023, 1024, 2047)")
+def partition_prefixes(spark, d):
+    wanted = spark.createDataFrame([(p,) for p in (0, 301, 301, 1023, 1024, 2047, 9999)], "part int")
+    return router.prefixes_of(router.split(router.base_map(spark), [HOT]), wanted)
+
+
+@query("split_movement", f"WITH {PTS}, h AS ({sql_hash(6)}), o AS ({MAP}), m AS ({SPLIT}), {ROUTED} SELECT r.event_id, o.part, r.part AS new_part FROM r JOIN o ON substr(r.geohash, 1, 2) = o.prefix WHERE r.part <> o.part")
+def split_movement(spark, d):
+    before = router.base_map(spark)
+    return router.moved(routed(spark, d), before, router.split(before, [HOT])).select("event_id", "part", "new_part")
+
+
 @query("route_counts", f"WITH {PTS}, h AS ({sql_hash(6)}), m AS ({MAP}), {ROUTED} SELECT part, CAST(count(*) AS BIGINT) AS cnt FROM r GROUP BY part")
 def route_counts(spark, d):
     return routed(spark, d).groupBy("part").agg(F.count(F.lit(1)).alias("cnt"))
@@ -249,6 +369,12 @@ def placement_donated(spark, d):
     return router.donated(placed(spark), spark.createDataFrame([(300, 9), (301, 9), (777, 9), (777, 9)], "part int, node int"))
 
 
+@query("placement_keep_previous", f"WITH p AS ({PLACED}) SELECT part, CASE WHEN part % 4 = 0 THEN CAST(part % 5 AS INT) ELSE node END AS node FROM p")
+def placement_keep(spark, d):
+    new = placed(spark)
+    return router.keep_previous(new, new.where("part % 4 = 0").select("part", (F.col("part") % 5).cast("int").alias("node")))
+
+
 @query("placement_split", f"SELECT part, CASE WHEN part BETWEEN 1024 AND 2047 THEN 3 ELSE node END AS node FROM ({PLACED})")
 def placement_split(spark, d):
     return router.split_override(placed(spark), 1024, 2047, 3)
@@ -275,6 +401,16 @@ def skew_80_20(spark, d):
     return skew.power_law(route_counts(spark, d))
 
 
+@query("skew_80_20_memory", f"{COUNTS}, {TOP} SELECT s.total, t.top, floor(s.total * 4 / 5) - t.top <= 1500 AND s.total * 2080 / 1048576.0::DOUBLE / 100.0::DOUBLE >= 0.1 AS skewed FROM (SELECT CAST(sum(cnt) AS BIGINT) AS total FROM c) s, (SELECT CAST(sum(cnt) AS BIGINT) AS top FROM t) t")
+def skew_memory(spark, d):
+    return skew.power_law(route_counts(spark, d), 100.0)
+
+
+@query("node_partition_counts", f"{COUNTS}, p AS ({PLACED}), n AS (SELECT node, part, cnt FROM c JOIN p USING (part) WHERE node IS NOT NULL) SELECT node, part, cnt, CAST(sum(cnt) OVER (PARTITION BY node) AS BIGINT) AS total, CAST(count(*) OVER (PARTITION BY node) AS BIGINT) AS non_empty FROM n")
+def node_counts(spark, d):
+    return skew.node_stats(routed(spark, d), placed(spark))
+
+
 @query("hot_partitions_topk", f"{COUNTS}, {TOP} SELECT part, cnt, rank FROM t")
 def hot_partitions(spark, d):
     return skew.top_fifth(route_counts(spark, d))
@@ -307,6 +443,11 @@ def hot_node_cause(spark, d):
 _offers = "o AS (SELECT grp, node, mem, capacity FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mem, node) AS r FROM n) WHERE r = 1)"
 
 
+@query("nodes_of_group", f"WITH {NODES} SELECT * FROM n WHERE grp = 1")
+def nodes_of_group(spark, d):
+    return skew.of_group(nodes(spark, d), 1)
+
+
 @query("group_offers", f"WITH {NODES}, {_offers} SELECT * FROM o")
 def group_offers(spark, d):
     return skew.offers(nodes(spark, d))
@@ -322,7 +463,18 @@ def local_donor(spark, d):
     return skew.donor(nodes(spark, d))
 
 
-@query("partitions_to_move")
+_MOVE = f"""WITH RECURSIVE {COUNTS.removeprefix('WITH ')},
+g AS (SELECT CAST(sum(cnt) AS BIGINT) * 2 // 3 AS goal, min(part) AS low, max(part) AS high, arg_min(part, (-cnt, part)) AS start FROM c),
+w(step, part, missing) AS (
+  SELECT 0, start, goal - c.cnt FROM g JOIN c ON c.part = g.start WHERE goal > 1000
+  UNION ALL
+  SELECT w.step + 1, coalesce(r.part, l.part), w.missing - coalesce(r.cnt, l.cnt, 0)
+  FROM w CROSS JOIN g LEFT JOIN c r ON r.part = g.start + w.step + 1 LEFT JOIN c l ON l.part = g.start - w.step - 1
+  WHERE g.start + w.step + 1 <= g.high AND g.start - w.step - 1 >= g.low AND (w.step = 0 OR w.missing >= 1000))
+SELECT CAST(row_number() OVER (ORDER BY step) - 1 AS INT) AS step, CAST(part AS INT) AS part FROM w WHERE part IS NOT NULL"""
+
+
+@query("partitions_to_move", _MOVE)
 def partitions_to_move(spark, d):
     counts = {r["part"]: r["cnt"] for r in route_counts(spark, d).collect()}  # at most 20,000 partitions
     return spark.createDataFrame([(k, p) for k, p in enumerate(skew.to_move(counts))], "step int, part int")
@@ -358,8 +510,19 @@ def even_value(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").where(F.col("o_custkey") % 2 == 0).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("period_of_month", "SELECT event_id, epoch_ms(date_trunc('month', ts)) AS start_ms, epoch_ms(date_trunc('month', ts) + INTERVAL 1 MONTH) - 1 AS end_ms FROM events")
-def period_of_month(spark, d):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+for _unit in ("hour", "day", "month", "year"):
+
+    @query(f"period_of_{_unit}", f"SELECT event_id, epoch_ms(date_trunc('{_unit}', ts)) AS start_ms, epoch_ms(date_trunc('{_unit}', ts) + INTERVAL 1 {_unit.upper()}) - 1 AS end_ms FROM events")
+    def period_of(spark, d, unit=_unit):
+        rows = spark.read.parquet(f"{d}/events.parquet")
+        return rows.select("event_id", temporal.period(F.col("ts"), unit).alias("p")).select("event_id", "p.*")
+
+
+_JAN_2 = "epoch_ms(TIMESTAMP '2024-01-02 00:00:00')"
+
+
+@query("temporal_orientation", f"WITH p AS (SELECT event_id, epoch_ms(date_trunc('day', ts)) AS a, epoch_ms(date_trunc('day', ts)) + 86399999 AS b FROM events), d AS (SELECT *, {_JAN_2} AS x, {_JAN_2} + 86399999 AS y FROM p) SELECT event_id, CASE WHEN a >= x AND b <= y THEN 'full' WHEN a = y + 1 THEN 'up' WHEN b = x - 1 THEN 'down' ELSE 'ignore' END AS orientation FROM d")
+def temporal_orientation(spark, d):
+    day = temporal.period(F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), "day")
     rows = spark.read.parquet(f"{d}/events.parquet")
-    return rows.select("event_id", temporal.period(F.col("ts"), "month").alias("p")).select("event_id", "p.*")
+    return rows.select("event_id", temporal.orientation(day, temporal.period(F.col("ts"), "day")).alias("orientation"))

@@ -10,11 +10,17 @@ from ..functions.geohash import encode
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """lat, lon, ts_raw, raw, good, file from all files below a folder; header lines begin with LAT. Rows whose numbers do
-    not parse keep nulls and good = false, so that they can be counted."""
+    """parse() of all files below a folder, with the file each row is from."""
     lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse(lines)
+
+
+def parse(lines: DataFrame) -> DataFrame:
+    """lat, lon, ts_raw, raw, good and the other columns of lines (value, ...); header lines begin with LAT. Rows whose
+    numbers do not parse keep nulls and good = false, so that they can be counted."""
     f = F.split("value", ",")
-    rows = lines.where(~F.startswith("value", F.lit("LAT"))).select(f.getItem(0).try_cast("double").alias("lat"), F.get(f, F.lit(1)).try_cast("double").alias("lon"), F.get(f, F.lit(2)).alias("ts_raw"), F.col("value").alias("raw"), "file")
+    rest = [F.col(f"`{c}`") for c in lines.columns if c != "value"]
+    rows = lines.where(~F.startswith("value", F.lit("LAT"))).select(F.get(f, F.lit(0)).try_cast("double").alias("lat"), F.get(f, F.lit(1)).try_cast("double").alias("lon"), F.get(f, F.lit(2)).alias("ts_raw"), F.col("value").alias("raw"), *rest)
     return rows.withColumn("good", F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
@@ -37,11 +43,36 @@ def points_of_events(events: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """A table partitioned by the first letter of the cell, sorted by geohash. Read it back with read_points()."""
-    points.withColumn("cell", F.substring("geohash", 1, 1)).repartition("cell").sortWithinPartitions("geohash").write.mode("overwrite").partitionBy("cell").parquet(path)
+    """A table partitioned by the map's partition (part), sorted by geohash, so that a scan of one partition reads its files
+    only. Rows are dealt by part and a hash of the rest, so that a hot partition is written by several tasks."""
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("geohash"), F.lit(max(1, n // 64)))
+    points.repartition(n, "part", slot).sortWithinPartitions("part", "geohash").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_points(spark: SparkSession, path: str, part: int | None = None) -> DataFrame:
+    """The table, or one partition of it."""
+    rows = spark.read.parquet(path)
+    return rows if part is None else rows.where(F.col("part") == part)
+
+
+def lookup(rows: DataFrame, key: dict) -> DataFrame:
+    """The rows with this key."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def put(rows: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """rows with those of new, which replace rows of the same key. new has one row a key, as latest() gives."""
+    return rows.join(new.select(*key), key, "left_anti").unionByName(new)
+
+
+def remove(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows without those whose key is in keys."""
+    return rows.join(keys, keys.columns, "left_anti")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Cells such as 00 or 1d must not become numbers."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.parquet(path)
+def clear(rows: DataFrame) -> DataFrame:
+    """The table without rows."""
+    return rows.where(F.lit(False))
