@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line: the median of two runs after a warm-up."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line: the median of three runs after a warm-up."""
 
 import json
 import os
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from geocell.queries import QUERIES
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-NAMES = ["geohash_encode_p12", "geohash_decode_box", "polygon_count", "polygon_rows", "bbox_filter", "route_base", "route_split", "ingest_upsert_latest", "skew_partition_stats", "skew_80_20", "hot_partitions_topk", "char_count"]
+NAMES = ["geohash_encode_p12", "geohash_decode_box", "geohash_neighbours", "polygon_count", "polygon_rows", "bbox_filter", "route_base", "route_split", "ingest_upsert_latest", "skew_partition_stats", "skew_80_20", "hot_partitions_topk", "char_count", "hash_semi_filter", "knn_confusion"]
 
 
 def main() -> None:
@@ -19,7 +19,7 @@ def main() -> None:
     took = {}
     for name in NAMES:
         times = []
-        for _ in range(3):
+        for _ in range(4):
             t = time.perf_counter()
             QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - t)
