@@ -146,10 +146,10 @@ def count_grams(docs: DataFrame, held: Column, depth: int, split: int, buckets:
                         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                         keys.append(own[first])
                         counts.append(np.zeros(len(first), np.int64) if wanted else np.diff(np.append(first, len(own))))
-                if sum(map(len, keys)) > 16 * HELD:
+                if sum(map(len, keys)) > 8 * HELD:
                     k, n = _summed(np.concatenate(keys), np.concatenate(counts))
                     keys, counts = [k], [n]
-                    if len(k) > 10 * HELD:
+                    if len(k) > 5 * HELD:
                         yield dealt(k, n)
                         keys, counts = [], []
         if keys:
@@ -248,7 +248,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _runs(keys: np.ndarray, n: np.ndarray, split: int, most: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _runs(keys: np.ndarray, n: np.ndarray, split: int, most: int = HELD // 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Grams and counts in runs of whole shards: more than about `most` only where one shard has them."""
     shard = _shard(keys, split)
     order = np.argsort(shard, kind="stable")
@@ -386,7 +386,7 @@ def _least(counts: DataFrame, most: int) -> int:
     return least
 
 
-def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 250_000, grams: int = 2_900_000) -> DataFrame:
+def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words: int = 150_000, grams: int = 2_900_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_coded and bits_per_byte for every row of docs
     (doc_id, text). score is the log10 probability of the text, n_coded the bytes it is coded as, with the end, and
     bits_per_byte the code length of these.
