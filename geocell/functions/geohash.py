@@ -150,6 +150,39 @@ def neighbours(geohash: Column, precision: int) -> Column:
     return F.array(*[neighbour(geohash, d, precision) for d in DIRECTIONS])
 
 
+def border_suffixes(precision: int, to: int, side: str) -> list[str]:
+    """What the cells of `to` letters along a side (n, s, w or e; nw, ne, sw or se: the one in that corner) of a cell of
+    `precision` letters add to its geohash, from west to east or south to north. They depend on the two lengths only."""
+    (nx, ny), (mx, my) = bits(precision), bits(to)
+    columns, rows = range(1 << (mx - nx)), range(1 << (my - ny))
+    columns = columns[-1:] if "e" in side else columns[:1] if "w" in side else columns
+    rows = rows[-1:] if "n" in side else rows[:1] if "s" in side else rows
+    out = []
+    for x, y in ((x, y) for y in rows for x in columns):
+        code = [(y >> (my - 1 - j // 2)) & 1 if j % 2 else (x >> (mx - 1 - j // 2)) & 1 for j in range(5 * precision, 5 * to)]
+        out.append("".join(ALPHABET[int("".join(map(str, code[k : k + 5])), 2)] for k in range(0, len(code), 5)))
+    return out
+
+
+def borders(geohash: Column, precision: int, to: int, sides: tuple[str, ...] = ("n", "s", "w", "e")) -> Column:
+    """array of struct(side, pos, cell): the cells of `to` letters along the sides (or in the corners) of a cell of
+    `precision` letters. Only letters are added; there are about 2 ** (2.5 * (to - precision)) on a side."""
+    if to <= precision:
+        raise ValueError("cells on a border are smaller than the cell")
+    return F.array(*[F.struct(F.lit(d).alias("side"), F.lit(k).alias("pos"), F.concat(geohash, F.lit(s)).alias("cell")) for d in sides for k, s in enumerate(border_suffixes(precision, to, d))])
+
+
+def outline(geohash: Column, precision: int) -> Column:
+    """The outer corners of a cell with its eight neighbours: south-west, north-west, north-east, south-east. Rows and columns
+    of cells go round."""
+    nx, ny = bits(precision)
+    x, y = cell(geohash, precision)
+    first = lambda v, n: (v - 1).bitwiseAND(F.lit((1 << n) - 1))
+    end = lambda v, n: (v + 1).bitwiseAND(F.lit((1 << n) - 1)) + 1
+    lat, lon = (lambda v: -90 + v * 180.0 / F.lit(float(1 << ny))), (lambda v: -180 + v * 360.0 / F.lit(float(1 << nx)))
+    return corners(F.struct(lat(first(y, ny)).alias("lat_lo"), lat(end(y, ny)).alias("lat_hi"), lon(first(x, nx)).alias("lon_lo"), lon(end(x, nx)).alias("lon_hi")))
+
+
 def grid_xy(lat: Column, lon: Column) -> Column:
     """struct(x, y) on the 2**30 integer grid, y to the south, in 32-bit float steps."""
     f = lambda c: c.cast("float")

@@ -53,3 +53,14 @@ def scores(predicted: DataFrame) -> DataFrame:
     """One row: errors, accuracy."""
     wrong = F.sum((F.col("label") != F.col("predicted")).cast("long"))
     return predicted.agg(wrong.alias("errors"), (1 - wrong / F.count(F.lit(1))).alias("accuracy"))
+
+
+def by_label(predicted: DataFrame) -> DataFrame:
+    """label, precision, recall, f: precision is null for a label that is never predicted, recall for one that no row has."""
+    one, none = F.lit(1), F.lit(0)
+    hit = F.coalesce((F.col("label") == F.col("predicted")).cast("int"), none)
+    own = F.struct(F.col("label").alias("label"), one.alias("own"), none.alias("called"), hit.alias("hits"))
+    called = F.struct(F.col("predicted").alias("label"), none.alias("own"), one.alias("called"), none.alias("hits"))
+    sums = predicted.select(F.inline(F.array(own, called))).groupBy("label").agg(*[F.sum(c).cast("double").alias(c) for c in ("own", "called", "hits")])
+    share = lambda n: F.when(n > 0, F.col("hits") / n)
+    return sums.select("label", share(F.col("called")).alias("precision"), share(F.col("own")).alias("recall"), (2 * F.col("hits") / (F.col("own") + F.col("called"))).alias("f"))

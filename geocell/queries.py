@@ -254,6 +254,33 @@ def hash_encloses(spark, d):
     return hashed(spark, d, 4).select("event_id", G.encloses(F.lit("9x"), F.col("geohash")).alias("inside"))
 
 
+_cells = f"c AS (SELECT DISTINCT ix, iy, {sql_letters(3)} AS geohash FROM (SELECT {sql_index('lon', -180, 360, 8)} AS ix, {sql_index('lat', -90, 180, 7)} AS iy FROM pts))"
+_inner = f"k AS (SELECT geohash, a, b, {sql_letters(4)} AS cell FROM (SELECT geohash, a, b, c.ix * 4 + a AS ix, c.iy * 8 + b AS iy FROM c, range(4) x(a), range(8) y(b)))"
+_sides = " UNION ALL ".join(f"SELECT geohash, '{d}' AS side, CAST({at} AS INT) AS pos, cell FROM k WHERE {where}" for d, at, where in (("n", "a", "b = 7"), ("s", "a", "b = 0"), ("w", "b", "a = 0"), ("e", "b", "a = 3")))
+
+
+def cells_met(spark, d, p=3):
+    return hashed(spark, d, p).select("geohash").distinct()
+
+
+@query("geohash_borders", f"WITH {PTS}, {_cells}, {_inner} {_sides}")
+def geohash_borders(spark, d):
+    return cells_met(spark, d).select("geohash", F.inline(G.borders(F.col("geohash"), 3, 4)))
+
+
+@query("geohash_corner_cells", f"WITH {PTS}, {_cells}, {_inner} SELECT geohash, CASE WHEN b = 7 THEN 'n' ELSE 's' END || CASE WHEN a = 3 THEN 'e' ELSE 'w' END AS side, cell FROM k WHERE a IN (0, 3) AND b IN (0, 7)")
+def geohash_corner_cells(spark, d):
+    return cells_met(spark, d).select("geohash", F.inline(G.borders(F.col("geohash"), 3, 4, ("nw", "ne", "sw", "se")))).drop("pos")
+
+
+_ring = "w AS (SELECT geohash, -180 + ((ix + 255) % 256) * 360.0::DOUBLE / 256 AS x0, -180 + ((ix + 1) % 256 + 1) * 360.0::DOUBLE / 256 AS x1, -90 + ((iy + 127) % 128) * 180.0::DOUBLE / 128 AS y0, -90 + ((iy + 1) % 128 + 1) * 180.0::DOUBLE / 128 AS y1 FROM c)"
+
+
+@query("geohash_outline", f"WITH {PTS}, {_cells}, {_ring} " + " UNION ALL ".join(f"SELECT geohash, {k} AS pos, {y} AS lat, {x} AS lon FROM w" for k, (y, x) in enumerate((("y0", "x0"), ("y1", "x0"), ("y1", "x1"), ("y0", "x1")))))
+def geohash_outline(spark, d):
+    return cells_met(spark, d).select("geohash", F.posexplode(G.outline(F.col("geohash"), 3))).select("geohash", "pos", "col.*")
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 LINES = f"""{PTS}, l AS (SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 'LAT,LON,TS' WHEN event_id % 37 = 0 THEN 'n/a,' || event_id
@@ -488,15 +515,27 @@ def char_count(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").agg(F.sum(F.length(F.translate("text", " ", ""))).cast("long").alias("chars"))
 
 
-@query("knn_confusion", """
+_KNN = """
 WITH t AS (SELECT * FROM embeddings WHERE vec_id % 10 < 7), q AS (SELECT * FROM embeddings WHERE vec_id % 10 >= 7),
 n AS (SELECT q.vec_id, q.label, t.label AS tl, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), t.vec_id) AS r FROM q, t),
 v AS (SELECT vec_id, label, tl, count(*) AS n, min(r) AS r FROM n WHERE r <= 2 GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, r, tl) AS k FROM v)
-SELECT label, tl AS predicted, CAST(count(*) AS BIGINT) AS n FROM b WHERE k = 1 GROUP BY ALL""")
-def knn_confusion(spark, d):
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, r, tl) AS k FROM v)"""
+
+
+def voted(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    return knn.confusion(knn.classify(rows.where("vec_id % 10 < 7"), rows.where("vec_id % 10 >= 7")))
+    return knn.classify(rows.where("vec_id % 10 < 7"), rows.where("vec_id % 10 >= 7"))
+
+
+@query("knn_confusion", f"{_KNN} SELECT label, tl AS predicted, CAST(count(*) AS BIGINT) AS n FROM b WHERE k = 1 GROUP BY ALL")
+def knn_confusion(spark, d):
+    return knn.confusion(voted(spark, d))
+
+
+@query("knn_by_label", f"""{_KNN}, p AS (SELECT label, tl FROM b WHERE k = 1), o AS (SELECT label, count(*) AS own, count(*) FILTER (tl = label) AS hits FROM p GROUP BY label), c AS (SELECT tl AS label, count(*) AS called FROM p GROUP BY tl)
+SELECT label, coalesce(hits, 0)::DOUBLE / called AS precision, hits::DOUBLE / own AS recall, 2.0::DOUBLE * coalesce(hits, 0) / (coalesce(own, 0) + coalesce(called, 0)) AS f FROM o FULL JOIN c USING (label)""")
+def knn_by_label(spark, d):
+    return knn.by_label(voted(spark, d))
 
 
 @query("key_range_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 9")

@@ -29,3 +29,9 @@ def test_no_cap_on_training_rows(spark):
     train = spark.range(100_500).selectExpr("id as vec_id", "array(cast(id as float)) as embedding", "cast(id % 10 as int) as label")
     test = spark.createDataFrame([(-1, [100_400.2], 0)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in knn.classify(train, test, k=1).collect()] == [(-1, 0, 0)]
+
+
+def test_scores_by_label(spark):
+    rows = [(1, 1), (1, 1), (1, 2), (2, 1), (3, 2)]
+    got = {r.label: (r.precision, r.recall, r.f) for r in knn.by_label(spark.createDataFrame(rows, "label int, predicted int")).collect()}
+    assert got == {1: (2 / 3, 2 / 3, 4 / 6), 2: (0.0, 0.0, 0.0), 3: (None, 0.0, 0.0)}
