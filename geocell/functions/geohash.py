@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the geohash alphabet.
@@ -132,16 +132,21 @@ def encode_center(box: Column, precision: int) -> Column:
     return encode(c["lat"], c["lon"], precision)
 
 
+def moved(geohash: Column, up: Column, right: Column, precision: int) -> Column:
+    """The cell so many rows up and columns to the right of one of `precision` letters; both go round."""
+    nx, ny = bits(precision)
+    x, y = cell(geohash, precision)
+    around = lambda v, n: v.bitwiseAND(F.lit((1 << n) - 1))
+    return encode_index(around(x + right, nx), around(y + up, ny), precision)
+
+
 def neighbour(geohash: Column, direction: str, precision: int) -> Column:
     """The cell of the same size next to one of `precision` letters; '' for an unknown direction, an error for a blank
     geohash. Rows and columns of cells go round, as wrap() has it."""
     if direction not in DIRECTIONS:
         return F.lit("")
-    nx, ny = bits(precision)
-    x, y = cell(geohash, precision)
     up, right = ("n" in direction) - ("s" in direction), ("e" in direction) - ("w" in direction)
-    around = lambda v, n: v.bitwiseAND(F.lit((1 << n) - 1))
-    found = encode_index(around(x + right, nx), around(y + up, ny), precision)
+    found = moved(geohash, F.lit(up), F.lit(right), precision)
     return F.when(F.trim(geohash) == "", F.raise_error(F.lit("blank geohash")).cast("string")).otherwise(found)
 
 
@@ -150,6 +155,20 @@ def neighbours(geohash: Column, precision: int) -> Column:
     return F.array(*[neighbour(geohash, d, precision) for d in DIRECTIONS])
 
 
+def with_neighbours(rows: DataFrame, geohash: str, precision: int) -> DataFrame:
+    """rows with pos and neighbour: a row for each of neighbours(), which are computed after the rows are multiplied, from the
+    cell's place. Of many rows this is far less work than exploding the array. Names that begin with __ are its own."""
+    nx, ny = bits(precision)
+    x, y = cell(F.col(geohash), precision)
+    steps = [F.struct(F.lit(k).alias("pos"), F.lit(("n" in d) - ("s" in d)).alias("__up"), F.lit(("e" in d) - ("w" in d)).alias("__right")) for k, d in enumerate(DIRECTIONS)]
+    wide = rows.withColumns({"__x": x, "__y": y}).select("*", F.inline(F.array(*steps)))
+    around = lambda at, step, n: (F.col(at) + F.col(step)).bitwiseAND(F.lit((1 << n) - 1))
+    wide = wide.withColumns({"__x": around("__x", "__right", nx), "__y": around("__y", "__up", ny)})
+    found = encode_index(F.col("__x"), F.col("__y"), precision)
+    blank = F.when(F.trim(geohash) == "", F.raise_error(F.lit("blank geohash")).cast("string")).otherwise(found)
+    return wide.withColumn("neighbour", blank).drop("__x", "__y", "__up", "__right")
+
+
 def border_suffixes(precision: int, to: int, side: str) -> list[str]:
     """What the cells of `to` letters along a side (n, s, w or e; nw, ne, sw or se: the one in that corner) of a cell of
     `precision` letters add to its geohash, from west to east or south to north. They depend on the two lengths only."""
@@ -173,14 +192,62 @@ def borders(geohash: Column, precision: int, to: int, sides: tuple[str, ...] = (
 
 
 def outline(geohash: Column, precision: int) -> Column:
-    """The outer corners of a cell with its eight neighbours: south-west, north-west, north-east, south-east. Rows and columns
-    of cells go round."""
+    """The outer corners of a cell with its eight neighbours: south-west, north-west, north-east, south-east."""
+    return corners(outline_box(geohash, precision))
+
+
+def outline_box(geohash: Column, precision: int) -> Column:
+    """struct(lat_lo, lat_hi, lon_lo, lon_hi) of a cell with its eight neighbours. Rows and columns of cells go round. Explode
+    its corners() in a later select: in one with it, the cell's place is computed for each."""
     nx, ny = bits(precision)
     x, y = cell(geohash, precision)
     first = lambda v, n: (v - 1).bitwiseAND(F.lit((1 << n) - 1))
     end = lambda v, n: (v + 1).bitwiseAND(F.lit((1 << n) - 1)) + 1
     lat, lon = (lambda v: -90 + v * 180.0 / F.lit(float(1 << ny))), (lambda v: -180 + v * 360.0 / F.lit(float(1 << nx)))
-    return corners(F.struct(lat(first(y, ny)).alias("lat_lo"), lat(end(y, ny)).alias("lat_hi"), lon(first(x, nx)).alias("lon_lo"), lon(end(x, nx)).alias("lon_hi")))
+    return F.struct(lat(first(y, ny)).alias("lat_lo"), lat(end(y, ny)).alias("lat_hi"), lon(first(x, nx)).alias("lon_lo"), lon(end(x, nx)).alias("lon_hi"))
+
+
+def inner_flanks(box: Column, to: int) -> Column:
+    """array of struct(side, ring) for a cell's box: the boxes that its cells of `to` letters along each side and in each
+    corner make up, and what lies within them (inner); nw, n, ne, w, inner, e, sw, s, se. A side's box holds its
+    corners. ring: north-west, north-east, south-east, south-west."""
+    mx, my = bits(to)
+    high, wide = F.lit(180.0 / (1 << my)), F.lit(360.0 / (1 << mx))
+    lo, hi, west, east = (box[c] for c in ("lat_lo", "lat_hi", "lon_lo", "lon_hi"))
+    rows = {"n": (hi - high, hi), "s": (lo, lo + high), "": (lo, hi), "inner": (lo + high, hi - high)}
+    columns = {"w": (west, west + wide), "e": (east - wide, east), "": (west, east), "inner": (west + wide, east - wide)}
+
+    def flank(side: str) -> Column:
+        (a, b), (x, y) = (rows["inner"], columns["inner"]) if side == "inner" else (rows[side.strip("we")], columns[side.strip("ns")])
+        ring = bounds(F.struct(a.alias("lat_lo"), b.alias("lat_hi"), x.alias("lon_lo"), y.alias("lon_hi")))
+        return F.struct(F.lit(side).alias("side"), ring.alias("ring"))
+
+    return F.array(*[flank(d) for d in (*DIRECTIONS[:4], "inner", *DIRECTIONS[4:])])
+
+
+def orientation(a: Column, b: Column, precision_a: int, precision_b: int) -> Column:
+    """relative() of two geohashes of precision_a and precision_b letters."""
+    return relative(cell(a, precision_a), cell(b, precision_b), precision_a, precision_b)
+
+
+def relative(a: tuple[Column, Column], b: tuple[Column, Column], precision_a: int, precision_b: int) -> Column:
+    """On which side of cell b cell a lies, if they touch (nw, n, ne, w, e, sw, s, se); full where one holds the other, else
+    ignore. a and b are places as cell() gives them, best from an earlier select; rows and columns go round, as for
+    neighbours."""
+    turned = precision_a > precision_b  # seen from the larger cell
+    large, small, n, m = (b, a, precision_b, precision_a) if turned else (a, b, precision_a, precision_b)
+
+    def side(k: int, before: str, behind: str) -> Column:
+        wide, most = bits(m)[k] - bits(n)[k], (1 << bits(m)[k]) - 1
+        first = F.shiftleft(large[k], wide)
+        last = first + ((1 << wide) - 1)
+        before, behind = (behind, before) if turned else (before, behind)
+        # where the small cell lies before the large one, the large one lies behind it
+        near = F.when(small[k] == (first - 1).bitwiseAND(F.lit(most)), behind).when(small[k] == (last + 1).bitwiseAND(F.lit(most)), before)
+        return F.when(small[k].between(first, last), "").otherwise(near)
+
+    where = F.concat(side(1, "s", "n"), side(0, "w", "e"))
+    return F.when(where == "", "full").otherwise(F.coalesce(where, F.lit("ignore")))
 
 
 def grid_xy(lat: Column, lon: Column) -> Column:

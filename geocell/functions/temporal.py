@@ -18,3 +18,8 @@ def period(ts: Column, unit: str) -> Column:
 def orientation(a: Column, b: Column) -> Column:
     """Of two periods: full (b within a), up or down (b follows or precedes a directly), else ignore."""
     return F.when((b["start_ms"] >= a["start_ms"]) & (b["end_ms"] <= a["end_ms"]), "full").when(b["start_ms"] == a["end_ms"] + 1, "up").when(b["end_ms"] == a["start_ms"] - 1, "down").otherwise("ignore")
+
+
+def combined(spatial: Column, temporal: Column) -> Column:
+    """spatial-temporal; ignore-ignore where the periods do not meet, wherever the cells lie."""
+    return F.when(temporal == "ignore", "ignore-ignore").otherwise(F.concat_ws("-", spatial, temporal))

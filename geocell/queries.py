@@ -109,7 +109,8 @@ def box_center(spark, d):
 
 @query("cell_corners", f"WITH {PTS}, h AS ({sql_hash(4)}), b AS (SELECT event_id, {sql_box(4)} FROM h) SELECT event_id, 0 AS pos, lat_lo AS lat, lon_lo AS lon FROM b UNION ALL SELECT event_id, 1, lat_hi, lon_lo FROM b UNION ALL SELECT event_id, 2, lat_hi, lon_hi FROM b UNION ALL SELECT event_id, 3, lat_lo, lon_hi FROM b")
 def cell_corners(spark, d):
-    return hashed(spark, d, 4).select("event_id", F.posexplode(G.corners(G.decode(F.col("geohash"))))).select("event_id", "pos", "col.*")
+    boxes = hashed(spark, d, 4).select("event_id", G.decode(F.col("geohash"), 4).alias("b"))
+    return boxes.select("event_id", F.posexplode(G.corners(F.col("b")))).select("event_id", "pos", "col.*")
 
 
 _moves = " UNION ALL ".join(f"SELECT event_id, {k} AS pos, (lat_lo + lat_hi) / 2 + {('n' in v) - ('s' in v)} * (lat_hi - lat_lo) AS la, (lon_lo + lon_hi) / 2 + {('e' in v) - ('w' in v)} * (lon_hi - lon_lo) AS lo FROM b" for k, v in enumerate(G.DIRECTIONS))
@@ -117,7 +118,7 @@ _moves = " UNION ALL ".join(f"SELECT event_id, {k} AS pos, (lat_lo + lat_hi) / 2
 
 @query("geohash_neighbours", f"WITH {PTS}, h AS ({sql_hash(4)}), b AS (SELECT event_id, {sql_box(4)} FROM h), n AS ({_moves}), w AS (SELECT event_id, pos, CASE WHEN la > 90 THEN la - 180 WHEN la < -90 THEN la + 180 ELSE la END AS lat, CASE WHEN lo > 180 THEN lo - 360 WHEN lo < -180 THEN lo + 360 ELSE lo END AS lon FROM n) {sql_hash(4, source='w', cols='event_id, pos', name='neighbour')}")
 def neighbours(spark, d):
-    return hashed(spark, d, 4).select("event_id", F.posexplode(G.neighbours(F.col("geohash"), 4)).alias("pos", "neighbour"))
+    return G.with_neighbours(hashed(spark, d, 4).select("event_id", "geohash"), "geohash", 4).drop("geohash")
 
 
 @query("grid_xy_compat", f"WITH {PTS} SELECT event_id, CAST(trunc((CAST(lon AS FLOAT) + 180::FLOAT) * 1073741824::FLOAT / 360::FLOAT) AS INT) AS x, CAST(trunc((90::FLOAT - CAST(lat AS FLOAT)) * 1073741824::FLOAT / 180::FLOAT) AS INT) AS y FROM pts")
@@ -278,7 +279,77 @@ _ring = "w AS (SELECT geohash, -180 + ((ix + 255) % 256) * 360.0::DOUBLE / 256 A
 
 @query("geohash_outline", f"WITH {PTS}, {_cells}, {_ring} " + " UNION ALL ".join(f"SELECT geohash, {k} AS pos, {y} AS lat, {x} AS lon FROM w" for k, (y, x) in enumerate((("y0", "x0"), ("y1", "x0"), ("y1", "x1"), ("y0", "x1")))))
 def geohash_outline(spark, d):
-    return cells_met(spark, d).select("geohash", F.posexplode(G.outline(F.col("geohash"), 3))).select("geohash", "pos", "col.*")
+    boxes = cells_met(spark, d).select("geohash", G.outline_box(F.col("geohash"), 3).alias("b"))
+    return boxes.select("geohash", F.posexplode(G.corners(F.col("b")))).select("geohash", "pos", "col.*")
+
+
+_h3, _w3 = 180 / (1 << 10), 360 / (1 << 10)
+_bands = {"n": (f"lat_hi - {_h3}", "lat_hi"), "s": ("lat_lo", f"lat_lo + {_h3}"), "": ("lat_lo", "lat_hi"), "w": ("lon_lo", f"lon_lo + {_w3}"), "e": (f"lon_hi - {_w3}", "lon_hi")}
+
+
+def sql_flank(side):
+    if side == "inner":
+        return f"lat_lo + {_h3} AS y0, lat_hi - {_h3} AS y1, lon_lo + {_w3} AS x0, lon_hi - {_w3} AS x1"
+    (a, b) = _bands["n" if "n" in side else "s" if "s" in side else ""]
+    (x, y) = _bands["w" if "w" in side else "e"] if side not in "ns" else ("lon_lo", "lon_hi")
+    return f"{a} AS y0, {b} AS y1, {x} AS x0, {y} AS x1"
+
+
+_flanks = " UNION ALL ".join(f"SELECT geohash, '{side}' AS side, {sql_flank(side)} FROM b" for side in (*G.DIRECTIONS, "inner"))
+
+
+@query("geohash_inner_flanks", f"WITH {PTS}, {_cells}, b AS (SELECT geohash, {sql_box(3)} FROM c), f AS ({_flanks}) " + " UNION ALL ".join(f"SELECT geohash, side, {k} AS pos, {y} AS lat, {x} AS lon FROM f" for k, (y, x) in enumerate((("y1", "x0"), ("y1", "x1"), ("y0", "x1"), ("y0", "x0")))))
+def geohash_inner_flanks(spark, d):
+    flanks = cells_met(spark, d).select("geohash", G.decode(F.col("geohash"), 3).alias("b")).select("geohash", F.inline(G.inner_flanks(F.col("b"), 4)))
+    return flanks.select("geohash", "side", F.posexplode("ring")).select("geohash", "side", "pos", "col.*")
+
+
+_near = ["9x", "c8", "dj", "zz", "80"]
+_NEAR = ", ".join(f"('{v}')" for v in _near)
+# boxes touch where an end of one is an end of the other, round the globe; the directions are those of the first from the second
+_touch = """CASE WHEN a.lat_lo >= b.lat_lo AND a.lat_hi <= b.lat_hi OR b.lat_lo >= a.lat_lo AND b.lat_hi <= a.lat_hi THEN ''
+  WHEN a.lat_lo = b.lat_hi OR a.lat_lo = -90 AND b.lat_hi = 90 THEN 'n' WHEN a.lat_hi = b.lat_lo OR a.lat_hi = 90 AND b.lat_lo = -90 THEN 's' END
+  || CASE WHEN a.lon_lo >= b.lon_lo AND a.lon_hi <= b.lon_hi OR b.lon_lo >= a.lon_lo AND b.lon_hi <= a.lon_hi THEN ''
+  WHEN a.lon_lo = b.lon_hi OR a.lon_lo = -180 AND b.lon_hi = 180 THEN 'e' WHEN a.lon_hi = b.lon_lo OR a.lon_hi = 180 AND b.lon_lo = -180 THEN 'w' END"""
+
+
+_sides_of = f"""s AS (SELECT geohash, {sql_box(3)} FROM c), g AS (SELECT geohash, {sql_box(2)} FROM (VALUES {_NEAR}) v(geohash)),
+t AS (SELECT s.geohash, g.geohash AS other, {_touch.replace('a.', 's.').replace('b.', 'g.')} AS ahead, {_touch.replace('a.', 'g.').replace('b.', 's.')} AS back FROM s, g)"""
+_named = "coalesce(CASE WHEN {0} = '' THEN 'full' ELSE {0} END, 'ignore')"
+
+
+@query("spatial_orientation", f"WITH {PTS}, {_cells}, {_sides_of} SELECT geohash, other, {_named.format('ahead')} AS ahead, {_named.format('back')} AS back FROM t")
+def spatial_orientation(spark, d):
+    place = lambda c, p: [v.alias(f"{c}_{k}") for k, v in zip("xy", G.cell(F.col(c), p), strict=True)]
+    cells = cells_met(spark, d).select("geohash", *place("geohash", 3))
+    pairs = cells.select("*", F.explode(F.array(*map(F.lit, _near))).alias("other")).select("*", *place("other", 2))
+    a, b = ((F.col(f"{c}_x"), F.col(f"{c}_y")) for c in ("geohash", "other"))
+    return pairs.select("geohash", "other", G.relative(a, b, 3, 2).alias("ahead"), G.relative(b, a, 2, 3).alias("back"))
+
+
+_parent = "p AS (SELECT geohash AS fine, ix // 8 AS px, iy // 4 AS py, ix % 8 AS a, iy % 4 AS b FROM c), o AS (SELECT *, " + sql_letters(2, "px", "py") + " AS geohash FROM p)"
+_place = "CASE WHEN b = 3 THEN 'n' WHEN b = 0 THEN 's' ELSE '' END || CASE WHEN a = 0 THEN 'w' WHEN a = 7 THEN 'e' ELSE '' END"
+_strips = " UNION ".join(f"SELECT geohash, '{d}' AS side FROM z WHERE " + " AND ".join({"n": "b = 3", "s": "b = 0", "w": "a = 0", "e": "a = 7"}[x] for x in d) for d in G.DIRECTIONS)
+_met = f"z AS (SELECT substr(cell, 1, 2) AS geohash, ix % 8 AS a, iy % 4 AS b FROM (SELECT k.cell, u.ix, u.iy FROM ({sql_cells(3, P.CONTINENT)}) k JOIN (SELECT ix, iy, {sql_letters(3)} AS name FROM range(256) x(ix), range(128) y(iy)) u ON u.name = k.cell)), m AS ({_strips})"
+_step = "(px + 32 + CASE WHEN contains(side, 'e') THEN 1 WHEN contains(side, 'w') THEN -1 ELSE 0 END) % 32 AS qx, (py + 32 + CASE WHEN contains(side, 'n') THEN 1 WHEN contains(side, 's') THEN -1 ELSE 0 END) % 32 AS qy"
+
+
+@query("neighbour_validity", f"WITH {PTS}, {_cells}, {_parent}, {_met}, e AS (SELECT DISTINCT geohash, px, py, {_place} AS side FROM o), v AS (SELECT geohash, side, {_step} FROM e JOIN m USING (geohash, side)) SELECT geohash, side, {sql_letters(2, 'qx', 'qy')} AS neighbour FROM v UNION ALL SELECT DISTINCT geohash, '', geohash FROM o")
+def neighbour_validity(spark, d):
+    return polygon_query.valid_neighbours(points(spark, d), P.CONTINENT, 2, 3)
+
+
+_BOX_RING = "SELECT prefix, lat_lo < 44.06 AND lat_hi > 34.08 AND lon_lo < -101.05 AND lon_hi > -112.06 AS meets, lat_lo <= 34.08 AND lat_hi >= 44.06 AND lon_lo <= -112.06 AND lon_hi >= -101.05 AS holds, lat_lo >= 34.08 AND lat_hi <= 44.06 AND lon_lo >= -112.06 AND lon_hi <= -101.05 AS held FROM b"
+
+
+@query("polygon_pairs", f"WITH m AS (SELECT DISTINCT substr(prefix, 1, 1) AS prefix FROM ({MAP}) UNION ALL SELECT '9x' || substr('{A}', CAST(i AS INT) + 1, 1) FROM range(32) t(i)), l AS (SELECT * FROM m WHERE length(prefix) = 1), s AS (SELECT * FROM m WHERE length(prefix) = 3), b AS (SELECT prefix, {sql_box(1, 'prefix')} FROM l UNION ALL SELECT prefix, {sql_box(3, 'prefix')} FROM s) {_BOX_RING}")
+def polygon_pairs(spark, d):
+    found = []
+    for cell in [*A, *("9x" + c for c in A)]:
+        south, north, west, east = P.decode(cell)
+        ring = [(south, west), (north, west), (north, east), (south, east)]
+        found.append((cell, P.intersects(ring, P.BOX_US), P.encloses(ring, P.BOX_US), P.encloses(P.BOX_US, ring)))
+    return spark.createDataFrame(found, "prefix string, meets boolean, holds boolean, held boolean")
 
 
 # ---- sources -------------------------------------------------------------------------------------------------------
@@ -565,3 +636,14 @@ def temporal_orientation(spark, d):
     day = temporal.period(F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), "day")
     rows = spark.read.parquet(f"{d}/events.parquet")
     return rows.select("event_id", temporal.orientation(day, temporal.period(F.col("ts"), "day")).alias("orientation"))
+
+
+_day = "CASE WHEN a >= x AND b <= y THEN 'full' WHEN a = y + 1 THEN 'up' WHEN b = x - 1 THEN 'down' ELSE 'ignore' END"
+
+
+@query("combined_orientation", f"WITH {PTS}, h AS ({sql_hash(1, cols='event_id, ts')}), d AS (SELECT *, epoch_ms(date_trunc('day', ts)) AS a, epoch_ms(date_trunc('day', ts)) + 86399999 AS b, {_JAN_2} AS x, {_JAN_2} + 86399999 AS y FROM h), e AS (SELECT event_id, {_day} AS t, coalesce(CASE geohash WHEN '9' THEN 'full' WHEN 'c' THEN 's' WHEN 'f' THEN 'sw' WHEN 'd' THEN 'w' WHEN '6' THEN 'nw' WHEN '3' THEN 'n' WHEN '2' THEN 'ne' WHEN '8' THEN 'e' WHEN 'b' THEN 'se' END, 'ignore') AS s FROM d) SELECT event_id, CASE WHEN t = 'ignore' THEN 'ignore-ignore' ELSE s || '-' || t END AS orientation FROM e")
+def combined_orientation(spark, d):
+    day = temporal.period(F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), "day")
+    rows = hashed(spark, d, 1)
+    spatial = G.orientation(F.lit("9"), F.col("geohash"), 1, 1)
+    return rows.select("event_id", temporal.combined(spatial, temporal.orientation(day, temporal.period(F.col("ts"), "day"))).alias("orientation"))

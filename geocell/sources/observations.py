@@ -24,6 +24,15 @@ def parse(lines: DataFrame) -> DataFrame:
     return rows.withColumn("good", F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
+def read_labelled(spark: SparkSession, path: str, features: int, label: int = 0, sep: str = ",") -> DataFrame:
+    """label, features (array of doubles) and good of separated text with `features` + 1 fields a line, the label in field
+    `label`. Lines with other fields or numbers that do not parse have good = false."""
+    f = F.split("value", f"\\Q{sep}\\E", -1)
+    numbers = F.array(*[F.trim(F.get(f, F.lit(k))).try_cast("double") for k in range(features + 1) if k != label])
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.trim(F.get(f, F.lit(label))).alias("label"), numbers.alias("features"), F.size(f).alias("fields"))
+    return rows.select("label", "features", ((F.col("fields") == features + 1) & ~F.exists("features", lambda x: x.isNull())).alias("good"))
+
+
 def keyed(rows: DataFrame, upper_range: int = 12) -> DataFrame:
     """rows with geohash and sub_geohash."""
     return rows.withColumn("geohash", encode(F.col("lat"), F.col("lon"))).withColumn("sub_geohash", F.substring("geohash", 1, upper_range))
