@@ -280,19 +280,20 @@ def field_spans(text: str, spans: list[tuple[str, int, int]], model: dict, skip:
 
 
 def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """Personal data in every text of docs (doc_id, text): counts and digest of the base spans, and all spans.
+    """Personal data in every text of docs (doc_id, text): counts and digest of the base spans, and all spans; n_added spans
+    come from the field, n_spans from both.
 
     Null text is empty: no spans, the digest of the empty string. A null doc_id stays null; repeated rows repeat. Time
     is linear in the text but for sorting; there is no limit on a text's length. Documents without a base span have
     nothing that the field could spread. An empty table gives no row. Other columns are ignored.
     """
     model = learn(docs) if model is None else model
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
-            digests, spelled, more = [], [], []
+            digests, spelled, more, every = [], [], [], []
             for cell in batch.column(1):
                 text = cell.as_py() or ""
                 base = base_spans(text)
@@ -302,7 +303,8 @@ def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
                 digests.append(hashlib.sha256(spell(base).encode()).hexdigest())
                 spelled.append(spell(base + added))
                 more.append(len(added))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spelled, pa.string()), pa.array(more, pa.int64())], names=[x.split()[0] for x in schema.split(", ")])
+                every.append(len(base) + len(added))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spelled, pa.string()), pa.array(more, pa.int64()), pa.array(every, pa.int64())], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -443,6 +443,7 @@ def test_pii_field_adds_and_keeps(docs):
     a = text.index("bo.b42 again")
     assert r.spans.split(",") == [f"email:9:{9 + len('bo.b42@mail.example.com')}", f"email:{a}:{a + 6}"]
     assert r.base_sha256 == hashlib.sha256(r.spans.split(",")[0].encode()).hexdigest()
+    assert (r.n_added, r.n_spans) == (1, 2) and all(x.n_spans == len(x.spans.split(",")) for x in got.values() if x.spans)
     assert all(x.spans == "" for x in got.values() if not x.n_email + x.n_ip + x.n_card + x.n_phone)
     masked = [x.text for x in pii.redact(docs).collect() if x.text and "[EMAIL]" in x.text]
     assert masked == ["mail me: [EMAIL], later [EMAIL] again"]
