@@ -306,17 +306,32 @@ def test_suffixes_across_boundaries(spark, monkeypatch):
     passage = words(rng, 60)
     rows = [(k, f"{words(rng, rng.randint(0, 30))} {passage[rng.randint(0, 60):]}") for k in range(40)] + [(k, "y" * 150) for k in range(50, 56)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    taken = [(passage.encode() + b" " * 100)[k : k + 100] for k in range(0, 200, 7)] + [b"y" * 100] * 12
-    place = np.array([rng.randint(0, 56) for _ in taken], np.int64)
-    zeros = np.zeros(len(taken), np.int64)
-    wall = np.sort(suffixes._sortable(np.frombuffer(b"".join(taken), np.uint8).reshape(-1, 100), place, zeros, zeros + 20))
+    once, again = set(), {}
+    for i, t in rows:  # a boundary right before the second place of every string that repeats
+        for at in range(len(t) - 99):
+            string = t[at : at + 100].encode()
+            if string in once:
+                again.setdefault(string, (i, at))
+            once.add(string)
+    place, start = (np.array(x, np.int64) for x in zip(*again.values(), strict=True))
+    strings = np.frombuffer(b"".join(again), np.uint8).reshape(-1, 100)
+    wall = np.sort(suffixes._sortable(strings, place, np.zeros(len(again), np.int64), start))
     monkeypatch.setattr(suffixes, "_splitters", lambda *a, **k: wall)
     seen = []
     across = suffixes._across
     monkeypatch.setattr(suffixes, "_across", lambda *a: seen.append(across(*a)) or seen[0])
     want = collections.Counter((i, *x) for (i, _), x in zip(rows, removed([(0, i, t.encode()) for i, t in rows]), strict=True))
-    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(df).collect()) == want
-    assert seen[0].count() > 0  # boundaries did matter
+    # small tables are read by one task, which settles all by itself; here several tasks must meet
+    several = {f"spark.sql.{c}": "false" for c in ("adaptive.coalescePartitions.enabled", "adaptive.enabled")} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in several}
+    try:
+        for c, value in several.items():
+            spark.conf.set(c, value)
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(df).collect()) == want
+        assert seen[0].count() > 0  # boundaries did matter
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
 
 
 def test_multikey_quicksort():
