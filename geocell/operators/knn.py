@@ -7,39 +7,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 1024
+#: Training rows that give the first bounds, and how many times more rows each later round has.
+FIRST, MORE = 128, 16
+#: Vectors of up to so many values are compared in generated code.
+UNROLLED = 128
+
+
+def _prepared(rows: DataFrame, dims: int) -> DataFrame:
+    """vec_id, label, deal (a hash), size (-1 for a vector that is null or holds a null), square (its squared length) and
+    the values in double: `dims` columns padded with 0, which generated code reads one by one, or the array v if that is too long."""
+    x = F.col("embedding")
+    whole = F.coalesce(~F.exists(x, lambda e: e.isNull()), F.lit(False))
+    rows = rows.select("vec_id", "label", F.xxhash64("vec_id", "label", x).alias("deal"), F.when(whole, F.transform(x, lambda e: e.cast("double"))).alias("x"))
+    x = F.coalesce(F.col("x"), F.array().cast("array<double>"))
+    v = [F.coalesce(F.get("x", F.lit(i)), F.lit(0.0)).alias(f"c{i}") for i in range(dims)] if 0 < dims <= UNROLLED else [x.alias("v")]
+    return rows.select("vec_id", "label", "deal", F.coalesce(F.size("x"), F.lit(-1)).alias("size"), F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e).alias("square"), *v)
+
+
+def _summed(q: Column, t: Column, dims: int, each) -> Column:
+    """The sum of each(a, b) over the values of two vectors."""
+    if not 0 < dims <= UNROLLED:
+        return F.aggregate(F.zip_with(q["v"], t["v"], each), F.lit(0.0), lambda s, d: s + d)
+    total = F.lit(0.0)
+    for i in range(dims):
+        total = total + each(q[f"c{i}"], t[f"c{i}"])
+    return total
 
 
 def _blocks(rows: DataFrame, count: int, name: str, struct: str) -> DataFrame:
     """Rows dealt by hash to `count` arrays of bounded size: name, and the array of them."""
-    part = F.pmod(F.xxhash64(F.col("vec_id"), F.col("label"), F.col("embedding")), F.lit(count)).cast("int")
-    return rows.groupBy(part.alias(name)).agg(F.collect_list(F.struct("vec_id", "label", "embedding")).alias(struct))
+    part = F.pmod("deal", F.lit(count)).cast("int")
+    return rows.groupBy(part.alias(name)).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "deal"])).alias(struct))
 
 
-def _pair(d: Column, t: Column) -> Column:
-    """Sorts by distance, one that is null last as in SQL, then by id."""
-    return F.struct(d.isNull().alias("unknown"), d.alias("d"), t["vec_id"].alias("t_id"), t["label"].alias("t_label"))
+def _nearest(train: DataFrame, test: DataFrame, dims: int, k: int, blocks: int, sets: int) -> DataFrame:
+    """vec_id, label, t_label, unknown, d, t_id and r of the k nearest of every test row. test may have `most`, an upper bound
+    of the distance of its k-th: pairs that are surely beyond it are dropped where they are made.
+
+    With squared lengths a pair is beyond `most` if its product is under (q.q + t.t - most * most) / 2; the slack of 1e-12 of
+    each term is some hundred times what rounding can do. Lengths that are not finite drop nothing."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    half = lambda x: F.when((x < float("inf")), x / 2).otherwise(F.lit(float("-inf")))
+    slack = 1e-12
+    least = half(F.col("square") * (1 - slack))
+    bounded = "most" in test.columns
+    if bounded:
+        own = half(F.col("square") * (1 - slack)) - F.col("most") * F.col("most") * (1 + slack) / 2 - 1e-300
+        test = test.withColumn("least", F.coalesce(F.when(F.col("most") * F.col("most") < float("inf"), own), F.lit(float("-inf")))).drop("most")
+    left = _blocks(train.withColumn("least", least).drop("square"), blocks, "b", "known").withColumn("s", every(sets))
+    right = _blocks(test.drop("square"), sets, "s", "asked").withColumn("b", every(blocks))
+    pairs = left.join(right, ["b", "s"]).select("known", F.explode("asked").alias("q")).select("q", F.explode("known").alias("t"))
+    q, t = F.col("q"), F.col("t")
+    if bounded:
+        beyond = _summed(q, t, dims, lambda a, b: a * b) < q["least"] + t["least"]
+        pairs = pairs.where(F.coalesce(~beyond, F.lit(True)))
+    # null where the sizes differ or a vector is not whole
+    d = F.when((q["size"] == t["size"]) & (q["size"] >= 0), F.lit(0.0)) + F.sqrt(_summed(q, t, dims, lambda a, b: (a - b) * (a - b)))
+    pairs = pairs.select(q["vec_id"].alias("vec_id"), q["label"].alias("label"), t["label"].alias("t_label"), d.alias("d"), t["vec_id"].alias("t_id")).withColumn("unknown", F.col("d").isNull())
+    # by distance, one that is null last as in SQL, then by id
+    return pairs.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("unknown", "d", "t_id"))).where(F.col("r") <= k)
 
 
 def classify(train: DataFrame, test: DataFrame, k: int = 2, block: int = BLOCK) -> DataFrame:
     """vec_id, label, predicted: a vote of the k nearest by Euclidean distance; ties go to the nearer, then the smaller label.
 
-    Both sides are dealt to blocks. A pair of blocks is one row's work, of bounded size, and gives each of its test rows
-    its k nearest there; these are merged. Cost is test x train rows as the exact search asks, but no row stands for a pair
-    of them, and nothing that is broadcast or gathered grows with the tables."""
-    blocks, sets = (max(1, -(-rows.count() // block)) for rows in (train, test))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = _blocks(train, blocks, "b", "known").withColumn("s", every(sets))
-    right = _blocks(test, sets, "s", "asked").withColumn("b", every(blocks))
-    # the values of both vectors, in double
-    squared = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-
-    def nearest(q):
-        pairs = F.transform("known", lambda t: _pair(squared(q["embedding"], t["embedding"]), t))
-        return F.struct(q["vec_id"].alias("vec_id"), q["label"].alias("label"), F.slice(F.array_sort(pairs), 1, k).alias("near"))
-
-    local = left.join(right, ["b", "s"]).select(F.explode(F.transform("asked", nearest)).alias("q"))
-    near = local.select("q.vec_id", "q.label", F.explode("q.near").alias("t")).select("vec_id", "label", "t.*")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy("unknown", "d", "t_id"))).where(F.col("r") <= k)
+    Both sides are dealt to blocks; a pair of blocks is one row's work, of bounded size. Cost is test x train rows as the exact
+    search asks, but few pairs become rows: rounds over MORE times more training rows each give every test row a bound, the
+    distance of its k-th nearest so far, and the next one drops what lies beyond it. The last round has all training rows, so the
+    bounds change the work and not the result. Nothing that is broadcast or gathered grows with the tables."""
+    counts = [x.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first() for x in (train, test)]
+    n, m = (c[0] for c in counts)
+    dims = max(0, *(c[1] or 0 for c in counts))
+    conf = train.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.maxFields")) < 3 * UNROLLED:  # else rows of two vectors are copied pair by pair
+        conf.set("spark.sql.codegen.maxFields", str(3 * UNROLLED))
+    train, test = (_prepared(x, dims) for x in (train, test))
+    sets, share = max(1, -(-m // block)), 1
+    while n > FIRST * share:
+        share *= MORE
+    asked = test
+    while True:
+        own = train.where(F.pmod(F.xxhash64("deal"), F.lit(share)) == 0) if share > 1 else train
+        near = _nearest(own, asked, dims, k, max(1, -(-n // (block * share))), sets)
+        if share == 1:
+            break
+        share //= MORE
+        most = near.where(F.col("r") == k).select(F.col("vec_id").alias("own"), F.col("d").alias("most"))
+        asked = test.join(most, F.col("vec_id").eqNullSafe(F.col("own")), "left").drop("own")
     votes = near.groupBy("vec_id", "label", "t_label").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r"))
     best = Window.partitionBy("vec_id").orderBy(F.col("n").desc(), "r", "t_label")
     return votes.withColumn("b", F.row_number().over(best)).where("b = 1").select("vec_id", "label", F.col("t_label").alias("predicted"))
