@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from geocell import queries
 from geocell.operators import knn
 
 
@@ -82,3 +83,9 @@ def test_pairs_are_compared_in_generated_code(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "Python" not in plan and "MapInArrow" not in plan
     assert found.count() == 100
+
+
+@pytest.mark.parametrize("name", ["knn_by_label", "knn_confusion"])
+def test_queries_compare_pairs_in_generated_code(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" not in plan
