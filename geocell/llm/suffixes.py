@@ -506,12 +506,12 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
         return base.join(per, F.col("key") == F.col("k"), how).select("key", "text", "ranges").sortWithinPartitions("key")
 
     dealt = base.sortWithinPartitions("key").mapInArrow(_find_anchors(length, buckets), _ROWS).repartition(n, "bucket")
-    anchors = written(dealt.mapInArrow(_settle_anchors(length, buckets), _ROWS).select("key", "copy", "a", "b", "wanted"))
+    anchors = written(dealt.mapInArrow(_settle_anchors(length, buckets), _ROWS).select("key", "copy", "a", "b", "wanted"), release=True)
     dealt = with_ranges(anchors.where("wanted"), "inner").mapInArrow(_find_windows(length, buckets), _ROWS).repartition(n, "bucket")
     windows = dealt.mapInArrow(_settle_windows(length, buckets), _ROWS)
     wall = _splitters(rows, length, buckets)
     dealt = with_ranges(windows, "inner").mapInArrow(_find_suffixes(length, buckets, wall), _ROWS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    settled = written(dealt.mapInArrow(_settle_suffixes(length, buckets), _ROWS))
+    settled = written(dealt.mapInArrow(_settle_suffixes(length, buckets), _ROWS), release=True)
     gone = [anchors.where("not wanted"), settled.where("data is null"), _across(settled, length)]
     ranges = gone[0].select("key", "copy", "a", "b").unionByName(gone[1].select("key", "copy", "a", "b")).unionByName(gone[2])
     schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"

@@ -512,3 +512,19 @@ def test_lm_pairs(depth):
     owner = rng.integers(0, 256, 2000)
     got = zip(*(x.tolist() for x in lm._pairs(keys, owner, depth)), strict=True)
     assert {(k, o): n for k, o, n in got} == collections.Counter(zip(keys.tolist(), owner.tolist(), strict=True))
+
+
+def test_suffixes_leave_no_texts_in_shuffle_files(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(33, 127, 20_000))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held() -> dict:
+        found = files.getAllFiles()
+        return {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before = held()
+    out = suffixes.deduplicate(docs)  # its first two parts are worked out and written here
+    left = sum(n for name, n in held().items() if name not in before)
+    assert left < sum(map(len, texts)) // 4 and out.count() == 200
