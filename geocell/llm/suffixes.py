@@ -508,7 +508,7 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
     dealt = base.sortWithinPartitions("key").mapInArrow(_find_anchors(length, buckets), _ROWS).repartition(n, "bucket")
     anchors = written(dealt.mapInArrow(_settle_anchors(length, buckets), _ROWS).select("key", "copy", "a", "b", "wanted"), release=True)
     dealt = with_ranges(anchors.where("wanted"), "inner").mapInArrow(_find_windows(length, buckets), _ROWS).repartition(n, "bucket")
-    windows = dealt.mapInArrow(_settle_windows(length, buckets), _ROWS)
+    windows = written(dealt.mapInArrow(_settle_windows(length, buckets), _ROWS), release=True)
     wall = _splitters(rows, length, buckets)
     dealt = with_ranges(windows, "inner").mapInArrow(_find_suffixes(length, buckets, wall), _ROWS).repartition(n, "bucket").sortWithinPartitions("bucket")
     settled = written(dealt.mapInArrow(_settle_suffixes(length, buckets), _ROWS), release=True)
