@@ -14,6 +14,7 @@ rarer is joined.
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,18 @@ HELD = 150_000
 U = np.uint64
 
 
+def _lean() -> None:
+    """In a worker: arrays of a MB and more go back to the system as soon as they are freed, and so does what is free now. Else
+    the C library keeps up to twice the largest array ever freed, and the gaps between arrays, for as long as the worker lives."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which it would raise by itself
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Lower-cased words of a text; the end token is not among them."""
     return (text or "").encode().lower().split()
@@ -96,6 +109,7 @@ def count_words(docs: DataFrame, held: Column) -> DataFrame:
     """word and n: its training count (0 for words that only held-out texts have). The end token is b"\\n"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         seen: list[Counter] = [Counter(), Counter()]
         for batch in batches:
             for cell, out in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -133,6 +147,7 @@ def count_grams(docs: DataFrame, held: Column, depth: int, split: int, buckets:
     shards; partial sums, to be summed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for batch in batches:
@@ -276,6 +291,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
     parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         for t in _buckets(batches):
             bucket = t["bucket"][0].as_py()
             keys, n = _grams_of(t)
@@ -287,7 +303,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
 
     schema = "bucket int, data binary, context long, node int, n0 double, n1 double, weighted double"
     names = [x.split()[0] for x in schema.split(", ")]
-    worked = written(grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(up, schema))
+    worked = written(grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(up, schema), release=True)
     level = worked.where("data is null")
     below, levels = level, []
     for d in range(split - 1, -1, -1):
@@ -296,7 +312,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
         most = F.greatest(a, b)
         summed = below.groupBy(F.col("context").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below")).withColumn("own", own)
         below = summed.withColumn("weighted", most + F.log(F.exp(a - most) + F.exp(b - most)) - F.log(F.lit(2.0)))
-        below = written(below.withColumn("stop", F.exp(a - F.log(F.lit(2.0)) - F.col("weighted"))).drop("own", "below"))
+        below = written(below.withColumn("stop", F.exp(a - F.log(F.lit(2.0)) - F.col("weighted"))).drop("own", "below"), release=True)
         levels.append(below)
     p, seen = (F.col("n0") + 0.5) / (F.col("n0") + F.col("n1") + 1.0), F.col("n0") + F.col("n1") > 0
     prior = None
@@ -316,6 +332,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
     rows = worked.where("data is not null").select("bucket", "data").unionByName(top, allowMissingColumns=True)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         for t in _buckets(batches):
             keys, n = _grams_of(t)
             given = t.filter(pc.is_null(t["data"]))
@@ -328,7 +345,7 @@ def weigh(grams: DataFrame, depth: int, split: int) -> DataFrame:
                 logp = s.log10(nodes, *above)
                 yield pa.RecordBatch.from_arrays([pa.array(s.grams.astype(np.int64)), pa.array(_summed(some, count)[1]), pa.array(logp.astype(np.float32))], names=["gram", "n", "logp"])
 
-    return written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(down, "gram long, n long, logp float"))
+    return written(rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(down, "gram long, n long, logp float"), release=True)
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------
@@ -399,7 +416,7 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
     unknown and each bit costs one bit. An empty table gives no row. Other columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary = written(count_words(docs, held))
+    vocabulary = written(count_words(docs, held), release=True)
     total, different = vocabulary.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     total = total or 0
     if not 0 <= split <= depth <= 7:
@@ -424,6 +441,7 @@ def score(docs: DataFrame, held: Column, depth: int = 6, split: int = 3, words:
         return pa.RecordBatch.from_arrays([pa.array(owner), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), zeros, zeros, nothing, nothing, zeros, key, pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         known, table = shared.value
         logs = {n: float(np.log10((n + 1) / room)) for n in set(known.values())}  # equal counts share a number
         base = {w: logs[n] for w, n in known.items()}

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -528,3 +529,26 @@ def test_suffixes_leave_no_texts_in_shuffle_files(spark):
     out = suffixes.deduplicate(docs)  # its first two parts are worked out and written here
     left = sum(n for name, n in held().items() if name not in before)
     assert left < sum(map(len, texts)) // 4 and out.count() == 200
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/statm"), reason="reads /proc")
+def test_score_starts_its_tasks_without_what_earlier_ones_left(spark):
+    def left(batches):
+        """MB that a worker has too much after arrays of an earlier task, before and after a task of the model starts."""
+        import numpy as np
+        import pyarrow as pa
+
+        mb = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+        first = mb()
+        np.ones(3 << 20)  # freed: from here on the C library keeps what is smaller
+        held = [(np.ones(1 << 17), np.ones(1 << 15)) for _ in range(200)]
+        pins = [h[1] for h in held]  # 52 MB between 210 MB that go
+        del held
+        kept = mb() - first
+        lm._lean()
+        yield pa.RecordBatch.from_pydict({"kept": [kept], "left": [mb() - first + 0 * pins[0][0]]})
+        for _ in batches:
+            pass
+
+    found = spark.range(1).coalesce(1).mapInArrow(left, "kept double, left double").first()
+    assert found.left < 90 and found.left <= found.kept + 1
