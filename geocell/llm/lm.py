@@ -34,11 +34,12 @@ U = np.uint64
 
 
 def _lean() -> None:
-    """In a worker: arrays of a MB and more go back to the system as soon as they are freed, and so does what is free now. Else
-    the C library keeps up to twice the largest array ever freed, and the gaps between arrays, for as long as the worker lives."""
+    """At the start of a worker's task: what is free goes back to the system, and later on what is free beyond 16 MB at the heap's
+    end. Else the C library keeps up to twice the largest array ever freed, and the gaps between arrays, while the worker lives."""
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which it would raise by itself
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD, which it would raise by itself
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
