@@ -1,5 +1,7 @@
 """k-nearest neighbours in blocks, against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,25 @@ def test_pairs_are_compared_in_generated_code(spark):
 def test_queries_compare_pairs_in_generated_code(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("dims", [5, 100])  # one word a bit, and two
+def test_products_are_bounded_by_rounded_vectors(spark, dims):
+    rng = np.random.default_rng(6)
+    vectors = [[float(x) * scale for x in rng.normal(0, 1, dims)] for scale in (1.0, 1e-3, 1e90, 1e-160, 1e-310) for _ in range(12)]
+    vectors += [[0.0] * dims, [1.0] + [0.0] * (dims - 1), [-1.0] * dims, [1.0] * dims, [float(x) for x in rng.integers(-2, 3, dims)], vectors[0]]
+    rows = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    found = knn._prepared(rows, dims)
+    q, t = (found.select(*[found[c].alias(p + c) for c in found.columns]) for p in ("q_", "t_"))
+    pairs = q.crossJoin(t).select("q_vec_id", "t_vec_id", knn._product_at_most(dims).alias("most")).collect()
+    assert len(pairs) == len(vectors) ** 2
+    for a, b, most in pairs:
+        exact, lengths = float(np.dot(vectors[a], vectors[b])), math.hypot(*vectors[a]) * math.hypot(*vectors[b])
+        assert exact - 1e-12 * lengths - 1e-300 <= most <= exact + 0.7 * lengths + 1e-300
+
+
+@pytest.mark.parametrize("name", ["knn_by_label", "knn_confusion"])
+def test_pairs_are_dropped_before_their_values_are_read(spark, name):
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Filter" in line and "least" in line and "coalesce" in line]
+    assert tests and not any(".c0" in line for line in tests)
